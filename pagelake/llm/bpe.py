@@ -158,6 +158,9 @@ class Encoder:
         self.tail = "".join(keep)
         out = self._units(units[: len(units) - len(keep)])
         if len(self.tail) > 4 * FEED and self.look:
+            if len(keep) > 1 and not keep[1].isspace():  # the white space before a long word is complete
+                out += self._units(keep[:1])
+                self.tail = keep[1]
             out += self._long()
         return out
 

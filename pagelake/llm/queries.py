@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.llm._common import texts
+from pagelake.llm.bpe import digests
 from pagelake.llm.quality import quality_rules
+from pagelake.llm.simhash import simhash_groups
+from pagelake.session import table
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,5 +42,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
        failure_bits = 0 AS kept, failure_bits FROM b
 """
 
-QUERIES = {"op2_quality_rules": op2_quality_rules}
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(texts(spark, sf_dir))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality_rules, op9_simhash)}
 ORACLE = {"op2_quality_rules": OP2_SQL}
