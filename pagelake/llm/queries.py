@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from pagelake.llm._common import texts
 from pagelake.llm.bpe import digests
+from pagelake.llm.packing import pack
 from pagelake.llm.quality import quality_rules
+from pagelake.llm.secrets import scan
 from pagelake.llm.simhash import simhash_groups
+from pagelake.llm.tokenfile import token_files
+from pagelake.llm.topk import top_k
 from pagelake.session import table
 
 
@@ -53,5 +57,33 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality_rules, op9_simhash)}
-ORACLE = {"op2_quality_rules": OP2_SQL}
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"))
+
+
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_packing, op4_secrets, op5_token_files, op6_top_k, op9_simhash)}
+ORACLE = {"op2_quality_rules": OP2_SQL, "op6_top_k": OP6_SQL}
