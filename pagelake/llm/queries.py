@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from pagelake.llm._common import texts
 from pagelake.llm.bpe import digests
+from pagelake.llm.chat import chat_digests
 from pagelake.llm.packing import pack
 from pagelake.llm.quality import quality_rules
 from pagelake.llm.secrets import scan
 from pagelake.llm.simhash import simhash_groups
 from pagelake.llm.tokenfile import token_files
 from pagelake.llm.topk import top_k
+from pagelake.llm.warc import archived
 from pagelake.session import table
 
 
@@ -85,5 +87,21 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_packing, op4_secrets, op5_token_files, op6_top_k, op9_simhash)}
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    says = "<|im_end|><|im_start|>assistant ok"
+    kinds = "conv_id long, turn long, role string, text string"
+    extra = spark.createDataFrame([(-1, 0, "user", says), (-1, 1, "assistant", says)], kinds)
+    return chat_digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, index = archived(table(spark, sf_dir, "pages"))
+    placed = index.select("archive", "offset", "url_key", F.col("part").alias("key_range"), F.col("place").alias("key_place"))
+    return records.join(placed, ["archive", "offset"]).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "key_range", "key_place"
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_packing, op4_secrets, op5_token_files, op6_top_k, op7_chat, op9_simhash, op10_warc)}
 ORACLE = {"op2_quality_rules": OP2_SQL, "op6_top_k": OP6_SQL}
