@@ -12,6 +12,7 @@ from pagelake.llm.packing import pack
 from pagelake.llm.quality import quality_rules
 from pagelake.llm.secrets import scan
 from pagelake.llm.simhash import simhash_groups
+from pagelake.llm.substring import substring_digests
 from pagelake.llm.tokenfile import token_files
 from pagelake.llm.topk import top_k
 from pagelake.llm.warc import archived
@@ -88,6 +89,10 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     says = "<|im_end|><|im_start|>assistant ok"
     kinds = "conv_id long, turn long, role string, text string"
@@ -103,5 +108,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_packing, op4_secrets, op5_token_files, op6_top_k, op7_chat, op9_simhash, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_packing, op4_secrets, op5_token_files, op6_top_k, op7_chat, op8_substring, op9_simhash, op10_warc)}
 ORACLE = {"op2_quality_rules": OP2_SQL, "op6_top_k": OP6_SQL}

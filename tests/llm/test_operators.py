@@ -404,3 +404,41 @@ def test_loser_tree():
     for k in range(0, 9):
         runs = [sorted(r.randint(0, 20) for _ in range(r.randint(0, 12))) for _ in range(k)]
         assert list(LoserTree([iter(x) for x in runs])) == sorted(v for x in runs for v in x)
+
+
+def windows_removed(docs, width=13):
+    where = defaultdict(set)
+    split = [(i, WORD.findall(t or "")) for i, t in docs]
+    for i, w in split:
+        for k in range(len(w) - width + 1):
+            where[tuple(w[k : k + width])].add(i)
+    least = {k: min(v) for k, v in where.items()}
+    out = []
+    for i, w in split:
+        gone = {p for k in range(len(w) - width + 1) if least[tuple(w[k : k + width])] < i for p in range(k, k + width)}
+        out.append((i, len(w), len(gone), sha256(" ".join(x for p, x in enumerate(w) if p not in gone).encode()).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("hot,shard", [(50_000, 400_000), (1, 400_000), (3, 200)])
+def test_op8_against_all_windows(spark, sf, hot, shard):
+    from pagelake.llm.substring import substring_digests
+
+    found = rows(substring_digests(spark.read.parquet(f"{sf}/documents.parquet"), hot=hot, shard=shard))
+    assert sorted(tuple(x[n] for n in ("doc_id", "n_words", "n_removed", "kept_sha256")) for x in found) == windows_removed(corpus())
+
+
+def test_fm_index_counts_every_pattern():
+    from pagelake.llm.substring import FmIndex
+
+    r = np.random.default_rng(5)
+    text = np.r_[r.integers(1, 5, 300), 0, r.integers(1, 5, 80), 0]
+    index = FmIndex(text, 5)
+    for n in range(1, 14):
+        for k in range(0, 280, 7):
+            p = text[k : k + n]
+            lo, hi = index.before[p[-1:]], index.before[p[-1:] + 1]
+            for c in p[-2::-1]:
+                lo, hi = index.step(np.array([c]), lo, hi)
+            want = sum(np.array_equal(text[i : i + n], p) for i in range(len(text) - n + 1))
+            assert hi[0] - lo[0] == want
