@@ -65,19 +65,21 @@ def _count(c: Column, chars: str) -> Column:
     return (F.length(c) - F.length(F.regexp_replace(c, chars + "+", ""))).cast("long")
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id and the measurements. Windows of a text are compared by their 64-bit hash within that text only: n windows
+def measured(docs: DataFrame, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """doc_id, the columns to keep and the measurements. Windows of a text are compared by their 64-bit hash within that text only: n windows
     of different words meet with a chance of n * n / 2**65 (a text of 20,000 words: 1e-11)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce("text", F.lit(""))
     words = F.array_remove(F.split(text, WS_CLASS + "+"), "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(WS_CHARS)) != "")
-    df = docs.select("doc_id", text.alias("text")).select("doc_id", "text", words.alias("w"), lines.alias("l"))
+    df = docs.select("doc_id", *keep, text.alias("text"))
+    df = df.select("doc_id", *keep, "text", words.alias("w"), lines.alias("l"))
     n = F.size("w")
     windows = F.when(n < WINDOW, F.array().cast("array<bigint>")).otherwise(
         F.transform(F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0))), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
     )
     df = df.select(
         "doc_id",
+        *keep,
         n.cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         _count(F.col("text"), SYMBOLS).alias("n_symbols"),
@@ -101,9 +103,9 @@ def measured(docs: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("p")
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """doc_id, the measurements and failure_bits: bit k is set where rule k fails."""
-    df = measured(docs)
+def ledger(docs: DataFrame, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """doc_id, the columns to keep, the measurements and failure_bits: bit k is set where rule k fails."""
+    df = measured(docs, keep)
     bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(r.failed, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, r in enumerate(rules())])
     return df.withColumn("failure_bits", bits)
 
@@ -131,3 +133,12 @@ def ablation(entries: DataFrame, policy: Policy = V1) -> DataFrame:
 def quality_rules(docs: DataFrame, policy: Policy = V1) -> DataFrame:
     """The ledger of `docs` with base_failed and kept."""
     return verdict(verdict(ledger(docs), BASE, "passed"), policy, "kept").withColumn("base_failed", ~F.col("passed")).drop("passed")
+
+
+def accepted(docs: DataFrame, policy: Policy = V1) -> DataFrame:
+    """The rows of `docs` that a policy keeps, with their columns; the rules ride along with the row, nothing is joined."""
+    entries = ledger(docs.select(F.struct("*").alias("_row"), "doc_id", "text"), keep=["_row"])
+    # a filter that sank through the measurements would hold copies of all of them: the partition's number, which the
+    # optimizer may not move, keeps it above
+    entries = verdict(entries.select("_row", "failure_bits", F.spark_partition_id().alias("_part")), policy, "_kept")
+    return entries.where(F.col("_kept") & (F.col("_part") >= 0)).select("_row.*")

@@ -17,6 +17,7 @@ import re
 from collections.abc import Iterator
 from hashlib import sha256
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -155,8 +156,6 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def masker():
     """A column function that masks the secrets of a text; null stays null."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def mask_secrets(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else masked(t, spans(t)))

@@ -25,6 +25,7 @@ from hashlib import sha256
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -159,9 +160,9 @@ def covered(flags: np.ndarray, row: np.ndarray, at: np.ndarray, width: int) -> t
 PIECE = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 
-def _classes(docs: DataFrame, parts: int) -> DataFrame:
+def _classes(docs: DataFrame, parts: int, keep=()) -> DataFrame:
     """doc, text, th, least: rows shuffled once by the hash of the text; least is the smallest doc of equal texts."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(TOP)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(TOP)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"), *keep)
     placed = rows.withColumn("th", F.xxhash64("text")).repartition(parts, "th")
     w = Window.partitionBy("th", "text").orderBy("doc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return placed.withColumn("least", F.first("doc").over(w)).withColumn("n", F.count("*").over(w))
@@ -322,16 +323,16 @@ def _intervals(segments: DataFrame, parts: int, width: int, shard: int) -> DataF
     return placed.select("key", "hot", "seg", "doc", "th", "pos").mapInArrow(run, "th long, doc long, s long, e long")
 
 
-def marked(docs: DataFrame, width: int = WIDTH, hot: int = HOT, shard: int = SHARD) -> DataFrame:
+def marked(docs: DataFrame, width: int = WIDTH, hot: int = HOT, shard: int = SHARD, keep=()) -> DataFrame:
     """doc, text, least, cover (list of start, end, ... or null): what is to be removed from each row. A row with
     doc > least is a copy and loses every word, if its text has a window at all."""
     spark = docs.sparkSession
     ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    classes = _classes(docs, parts)
+    classes = _classes(docs, parts, keep)
     found = _intervals(_segments(classes, _shared(classes, parts, width, hot), width), parts, width, shard)
     cover = found.groupBy("th", F.col("doc").alias("least")).agg(F.flatten(F.collect_list(F.array("s", "e"))).alias("cover"))
-    return classes.join(cover, ["th", "least"], "left").select("doc", "text", "least", "cover")
+    return classes.join(cover, ["th", "least"], "left").select("doc", "text", "least", "cover", *keep)
 
 
 def kept_words(text: bytes, copy: bool, cover: list[int] | None, width: int = WIDTH) -> tuple[list[bytes], np.ndarray]:
@@ -370,3 +371,23 @@ def without(text: bytes, copy: bool, cover: list[int] | None, width: int = WIDTH
     if stay.all():
         return text
     return b"".join(p for p, s in zip(PIECE.findall(text), stay.tolist()) if s).strip()
+
+
+def cleaned(docs: DataFrame, width: int = WIDTH, hot: int = HOT, shard: int = SHARD) -> DataFrame:
+    """docs with the text that is left; n_chars follows it. A null text stays null."""
+    @F.pandas_udf("string")
+    def strip(text: pd.Series, copy: pd.Series, cover: pd.Series) -> pd.Series:
+        return pd.Series([t if c is None and not k else without(t.encode(), k, list(c) if c is not None else None, width).decode() for t, k, c in zip(text, copy, cover)])
+
+    rest = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"], F.col("text").isNull().alias("none")).alias("_rest")
+    df = marked(docs.withColumn("_rest", rest).select("doc_id", "text", "_rest"), width, hot, shard, ("_rest",))
+    df = df.withColumn("_text", F.when(~F.col("_rest.none"), strip("text", F.col("doc") > F.col("least"), "cover")))
+
+    def column(i: int, name: str):
+        if name == "text":
+            return F.col("_text").alias("text")
+        if name == "n_chars":
+            return F.length("_text").cast(docs.schema[name].dataType).alias(name)
+        return F.col(f"_rest.c{i}").alias(name)
+
+    return df.select(*[column(i, c) for i, c in enumerate(docs.columns)])
