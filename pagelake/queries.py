@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from pagelake.plans import native
+
+QUERIES: dict = dict(native.QUERIES)
+ORACLE: dict = dict(native.ORACLE)
