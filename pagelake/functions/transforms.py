@@ -67,6 +67,10 @@ def parse_spec(spec) -> tuple[str, list]:
 WHOLE = {"join", "first", "last", "nth", "unique", "compact", "sort", "count", "slice", "extractAll", "default", "nullIfEmpty", "json", "toString"}
 
 
+def _each(f, args):
+    return lambda v: f(v, *args)
+
+
 def apply_transforms(x, specs, array: bool = False) -> Column:
     """A chain, left to right; over the elements of an array where the transform isn't one of arrays."""
     c = col(x)
@@ -79,7 +83,7 @@ def apply_transforms(x, specs, array: bool = False) -> Column:
             raise ValueError(f'unknown transform "{name}"')
         f = REGISTRY[name]
         if array and name not in WHOLE:
-            c = F.transform(c, lambda v, f=f, args=args: f(v, *args))
+            c = F.transform(c, _each(f, args))
         else:
             c = f(c, *args)
             array = (array and name in {"unique", "compact", "sort", "slice"}) or name in {"split", "extractAll"}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagelake.plans import native
+from pagelake.plans import native, web
 
-QUERIES: dict = dict(native.QUERIES)
-ORACLE: dict = dict(native.ORACLE)
+QUERIES: dict = native.QUERIES | web.QUERIES
+ORACLE: dict = native.ORACLE | web.ORACLE
