@@ -92,7 +92,7 @@ def apply_transforms(x, specs, array: bool = False) -> Column:
 
 def java_replacement(s: str) -> str:
     """$& and $1 of a replacement, in Java's form."""
-    return re.sub(r"\$&", "\\$0", s.replace("\\", "\\\\"))
+    return s.replace("\\", "\\\\").replace("$&", "$0")
 
 
 trim = transform("trim")(lambda x: F.regexp_replace(col(x), f"^{SPACE}+|{SPACE}+$", ""))

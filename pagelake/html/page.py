@@ -65,7 +65,8 @@ class Page:
                 elif n.is_element and n.tag not in HIDDEN:
                     if n.tag in LINES:
                         out.append("\n")
-                        todo.append("\n")
+                        if n.children:
+                            todo.append("\n")
                     todo += n.children[::-1]
         lines = re.sub(r"[^\S\n]+", " ", "".join(out))
         return re.sub(r"\n{3,}", "\n\n", re.sub(r" ?\n ?", "\n", lines)).strip()

@@ -9,7 +9,7 @@ from pagelake.functions import dates, policy, urls
 from pagelake.functions import transforms as t
 from pagelake.operators import records, report
 from pagelake.session import ship, table
-from pagelake.sources import robots, sitemap
+from pagelake.sources import cache, robots, sitemap
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -247,7 +247,7 @@ def gauges(spark, sf_dir):
     return report.gauges(_log(spark, sf_dir), "host", "ms", "event_id")
 
 
-@query(f"SELECT host, count(ms) AS n, min(ms) AS least, max(ms) AS most, percentile_disc(0.5) WITHIN GROUP (ORDER BY ms) AS p50, percentile_disc(0.9) WITHIN GROUP (ORDER BY ms) AS p90, percentile_disc(0.99) WITHIN GROUP (ORDER BY ms) AS p99 FROM {LOG} GROUP BY host")
+@query(f"SELECT host, count(ms) AS n, min(ms) AS least, max(ms) AS most, (percentile_disc(0.5) WITHIN GROUP (ORDER BY ms))::DOUBLE AS p50, (percentile_disc(0.9) WITHIN GROUP (ORDER BY ms))::DOUBLE AS p90, (percentile_disc(0.99) WITHIN GROUP (ORDER BY ms))::DOUBLE AS p99 FROM {LOG} GROUP BY host")
 def latency_percentiles(spark, sf_dir):
     return report.histogram(_log(spark, sf_dir), "host", "ms")
 
@@ -380,3 +380,20 @@ def page_inventory(spark, sf_dir):
         F.size(F.array_distinct(F.regexp_extract_all("html", lit('<a [^>]*href="([^"]*)"'), 1))).cast("long").alias("n_links"),
     )
     return records.first_of_each(p, col("canonical"), "page_id")
+
+
+@query("SELECT page_id FROM pages WHERE page_id % 4 IN (1, 2) AND page_id % 3 <> 0")
+def cache_hits(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", lit("get").alias("method"), "url", col("page_id").cast("string").alias("body"), "html").withColumn("key", cache.key())
+    at = F.when(col("page_id") % 3 == 0, "2024-01-01T00:00:00Z").otherwise("2024-01-09T12:00:00Z")
+    made = p.withColumns({"status": F.when(col("page_id") % 4 == 0, 500).otherwise(200), "cache_control": F.when(col("page_id") % 4 == 3, "no-store"), "cached_at": at, "rendered": lit(False)})
+    hits, _ = cache.lookup(p.select("page_id", "key"), cache.fresh(cache.storable(made), "2024-01-10T00:00:00Z").select("key", "status"))
+    return hits.select("page_id")
+
+
+@query("SELECT url, md5(html) AS sha FROM pages WHERE page_id < 10")
+def seed_list(spark, sf_dir):
+    """Seeds as rows, joined to the pages by their canonical address."""
+    p = table(spark, sf_dir, "pages").where("page_id < 10")
+    seeds = p.select(urls.canonical("url").alias("key"), "url")
+    return seeds.join(p.select(urls.canonical("url").alias("key"), F.md5("html").alias("sha")), "key").select("url", "sha")
