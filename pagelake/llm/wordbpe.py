@@ -32,7 +32,7 @@ def _bytes_of() -> dict[str, int]:
 
 
 class WordBpe:
-    def __init__(self, path: str, memo: int = 300_000):
+    def __init__(self, path: str, memo: int = 100_000):
         import tiktoken
         from tokenizers import Tokenizer
 
