@@ -331,8 +331,11 @@ def marked(docs: DataFrame, width: int = WIDTH, hot: int = HOT, shard: int = SHA
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     classes = _classes(docs, parts, keep)
     found = _intervals(_segments(classes, _shared(classes, parts, width, hot), width), parts, width, shard)
-    cover = found.groupBy("th", F.col("doc").alias("least")).agg(F.flatten(F.collect_list(F.array("s", "e"))).alias("cover"))
-    return classes.join(cover, ["th", "least"], "left").select("doc", "text", "least", "cover", *keep)
+    # joined on th alone: with more keys Spark would shuffle the texts once more, by all of them
+    lists = found.groupBy("th").agg(F.collect_list(F.struct("doc", "s", "e")).alias("l"))
+    mine = F.filter("l", lambda x: x["doc"] == F.col("least"))
+    cover = F.when(F.size(mine) > 0, F.flatten(F.transform(mine, lambda x: F.array(x["s"], x["e"]))))
+    return classes.join(lists, "th", "left").select("doc", "text", "least", cover.alias("cover"), *keep)
 
 
 def kept_words(text: bytes, copy: bool, cover: list[int] | None, width: int = WIDTH) -> tuple[list[bytes], np.ndarray]:
