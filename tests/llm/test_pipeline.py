@@ -85,3 +85,79 @@ def test_near_dedup_keeps_one_of_each_group(spark, run):
     for i, p in prints.items():
         least[find(p)] = min(least.get(find(p), i), i)
     assert {x.doc_id for x in kept["simhash_near_dedup"]} == set(least.values())
+
+
+def shingle_set(t):
+    w = WORD.findall("".join(c.lower() if c.isascii() else c for c in t))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def jaccard(a, b):
+    a, b = shingle_set(a), shingle_set(b)
+    return len(a & b) / len(a | b)
+
+
+def test_near_dedup_finds_planted_copies_of_jaccard_080_and_more(spark):
+    r = random.Random(21)
+    rows, near, far = [], set(), set()
+    for i in range(60):
+        words = [f"w{r.randrange(5000)}" for _ in range(r.randint(120, 400))]
+        rows.append((10 * i, " ".join(words)))
+        for k, want in ((1, 0.8), (2, 0.88), (3, 0.95), (4, 0.7)):
+            copy = list(words)
+            places = r.sample(range(5, len(words) - 5), len(words) // 10)
+            for p in places:  # as many words changed as the wanted similarity lets
+                tried = copy[:p] + [f"n{r.randrange(10**6)}"] + copy[p + 1 :]
+                if jaccard(" ".join(words), " ".join(tried)) < want:
+                    break
+                copy = tried
+            last = " ".join(copy)
+            if want < 0.8:
+                for p in r.sample(range(len(copy)), 4):
+                    copy[p] = f"m{r.randrange(10**6)}"
+                last = " ".join(copy)
+            j = jaccard(" ".join(words), last)
+            if want >= 0.8:
+                assert j >= want
+                near.add(10 * i + k)
+                rows.append((10 * i + k, last))
+            elif j < 0.75 and all(jaccard(t, last) < 0.8 for d, t in rows if d // 10 == i):
+                far.add(10 * i + k)
+                rows.append((10 * i + k, last))
+    assert len(near) == 180 and len(far) > 20
+    docs = spark.createDataFrame([(i, t, "en", None, len(t), 7, "clash") for i, t in rows], DOCS)
+    kept = {x.doc_id for x in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()}
+    assert kept == {i for i, _ in rows} - near
+
+
+def test_near_classes_equal_brute_force(spark):
+    from pagelake.llm.neardup import near_classes
+
+    r = random.Random(22)
+    texts = ["", " \n", "one two", "One\ttwo", "one two three"]
+    for _ in range(6):  # crowds that drift: their ends are linked only through others
+        words = [f"w{r.randrange(900)}" for _ in range(100)]
+        for _ in range(12):
+            words[r.randrange(100)] = f"n{r.randrange(10**6)}"
+            if r.random() < 0.5:
+                words[r.randrange(100)] = f"n{r.randrange(10**6)}"
+            texts.append(" ".join(words))
+    docs = spark.createDataFrame([(i, t, "en", None, len(t), 7, "clash") for i, t in enumerate(texts)], DOCS)
+    from hashlib import md5
+
+    root = {bytes(x.key): bytes(x.root) for x in near_classes(docs).collect()}
+    found = [root.get(md5(t.encode()).digest(), t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    sets = [shingle_set(t) or {tuple(WORD.findall(t.lower()))} for t in texts]
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                parent[find(i)] = find(j)
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+    assert all((found[i] == found[j]) == (find(i) == find(j)) for i, j in pairs)
