@@ -142,8 +142,7 @@ def required_issue(spark, sf_dir):
 
 @query()
 def analyze_page(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").where("page_id < 50")
-    return inspect.analyze(p).select("page_id", "analysis.n_links", "analysis.internal", "analysis.blocks")
+    return inspect.analyze(table(spark, sf_dir, "pages")).select("page_id", "analysis.n_links", "analysis.internal", "analysis.blocks")
 
 
 @query("WITH RECURSIVE r AS (SELECT 1 AS k, 0 AS depth UNION ALL SELECT k * 2 + d, depth + 1 FROM r, (VALUES (0), (1)) t(d) WHERE depth < 3) SELECT 'https://shop.test/n/' || k AS url, depth::INTEGER AS depth FROM r")
