@@ -393,7 +393,7 @@ def cache_hits(spark, sf_dir):
 
 @query("SELECT url, md5(html) AS sha FROM pages WHERE page_id < 10")
 def seed_list(spark, sf_dir):
-    """Seeds as rows, joined to the pages by their canonical address."""
-    p = table(spark, sf_dir, "pages").where("page_id < 10")
-    seeds = p.select(urls.canonical("url").alias("key"), "url")
-    return seeds.join(p.select(urls.canonical("url").alias("key"), F.md5("html").alias("sha")), "key").select("url", "sha")
+    """Seeds as rows, joined to the pages by their canonical address; of several such pages, the one of the very address."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", urls.canonical("url").alias("key"), F.md5("html").alias("sha"))
+    found = p.select("key", "url").join(p.select("key", "page_id", "sha", col("url").alias("at")), "key")
+    return records.first_of_each(found.withColumn("other", col("at") != col("url")), col("url"), "other", "page_id").select("url", "sha")

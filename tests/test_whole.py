@@ -33,3 +33,9 @@ def test_analyze_page_is_of_every_page(spark, sf):
         r = found[i]
         assert (r.n_links, r.internal) == (i % 4 + i % 2, i % 4), i
         assert [b["count"] for b in r.blocks if b["selector"] == "div.card"] == ([i % 5] if i % 5 >= 3 else []), i
+
+
+def test_seed_list_has_every_seed(spark, sf):
+    d, pages, _ = sf
+    found = sorted((r.url, r.sha) for r in native.seed_list(spark, d).collect())
+    assert found == sorted((u, md5(h.encode()).hexdigest()) for _, u, h in pages)
