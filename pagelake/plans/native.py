@@ -305,7 +305,7 @@ def frontier_order(spark, sf_dir):
 @query("SELECT event_id, host, turn FROM (SELECT event_id, host, row_number() OVER (PARTITION BY host ORDER BY status, event_id)::INTEGER AS turn FROM " + LOG + ") ORDER BY turn, host LIMIT 50")
 def host_round_robin(spark, sf_dir):
     w = Window.partitionBy("host").orderBy("status", "event_id")
-    return _log(spark, sf_dir).select("event_id", "host", F.row_number().over(w).alias("turn")).orderBy("turn", "host").limit(50)
+    return _log(spark, sf_dir).select("event_id", "host", F.row_number().over(w).alias("turn")).orderBy("turn", "host")
 
 
 @query(f"SELECT event_id, avg((status >= 400)::INT::DOUBLE) OVER (PARTITION BY host ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS rate FROM {LOG}")

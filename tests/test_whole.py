@@ -39,3 +39,12 @@ def test_seed_list_has_every_seed(spark, sf):
     d, pages, _ = sf
     found = sorted((r.url, r.sha) for r in native.seed_list(spark, d).collect())
     assert found == sorted((u, md5(h.encode()).hexdigest()) for _, u, h in pages)
+
+
+def test_host_round_robin_orders_every_event(spark, sf):
+    d, _, events = sf
+    queues = defaultdict(list)
+    for i, _, user, _, _ in events:
+        queues[f"h{user % 7}"].append(([200, 404, 429, 503, 200][i % 5], i))
+    want = [(turn + 1, host, q[turn][1]) for host, q in ((h, sorted(q)) for h, q in queues.items()) for turn in range(len(q))]
+    assert [(r.turn, r.host, r.event_id) for r in native.host_round_robin(spark, d).collect()] == sorted(want)
