@@ -25,8 +25,11 @@ def parse(contents: DataFrame) -> DataFrame:
     return rows.select("sitemap", "kind", loc.alias("loc"), _tag(F.col("b"), "lastmod").alias("lastmod"), _tag(F.col("b"), "changefreq").alias("changefreq"), _tag(F.col("b"), "priority").try_cast("double").alias("priority")).where("loc is not null")
 
 
-def read(start: DataFrame, contents: DataFrame, depth: int = 3, most: int = 50_000) -> DataFrame:
-    """The pages of the sitemaps `start` (sitemap) and, through indexes, of their children found in `contents`."""
+def read(start: DataFrame, contents: DataFrame, depth: int = 3, most: int | None = None) -> DataFrame:
+    """The pages of the sitemaps `start` (sitemap) and, through indexes, of their children found in `contents`.
+
+    All of them, or the first `most` by address.
+    """
     level, seen, out = start.select("sitemap").distinct(), start.select("sitemap").distinct(), None
     for _ in range(depth + 1):
         rows = parse(contents.join(level, "sitemap", "left_semi"))
@@ -34,7 +37,7 @@ def read(start: DataFrame, contents: DataFrame, depth: int = 3, most: int = 50_0
         out = pages if out is None else out.unionByName(pages)
         level = rows.where("kind = 'sitemap'").select(F.col("loc").alias("sitemap")).distinct().join(seen, "sitemap", "left_anti")
         seen = seen.unionByName(level)
-    return out.orderBy("loc", "sitemap").limit(most)
+    return out if most is None else out.orderBy("loc", "sitemap").limit(most)
 
 
 CONVENTIONAL = ["/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/sitemap.txt"]

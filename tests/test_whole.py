@@ -48,3 +48,12 @@ def test_host_round_robin_orders_every_event(spark, sf):
         queues[f"h{user % 7}"].append(([200, 404, 429, 503, 200][i % 5], i))
     want = [(turn + 1, host, q[turn][1]) for host, q in ((h, sorted(q)) for h, q in queues.items()) for turn in range(len(q))]
     assert [(r.turn, r.host, r.event_id) for r in native.host_round_robin(spark, d).collect()] == sorted(want)
+
+
+def test_sitemap_has_no_cap_unless_asked(spark):
+    n = 50_500
+    body = "".join(f"<url><loc>http://s/{i}</loc></url>" for i in range(n))
+    contents = spark.createDataFrame([("http://s/map", body)], "sitemap string, content string")
+    start = contents.select("sitemap")
+    assert sitemap.read(start, contents, depth=0).count() == n
+    assert [r.loc for r in sitemap.read(start, contents, depth=0, most=2).collect()] == ["http://s/0", "http://s/1"]
