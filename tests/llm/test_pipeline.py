@@ -161,3 +161,15 @@ def test_near_classes_equal_brute_force(spark):
                 parent[find(i)] = find(j)
     pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
     assert all((found[i] == found[j]) == (find(i) == find(j)) for i, j in pairs)
+
+
+def test_near_dedup_goes_by_text_when_doc_ids_are_null_or_repeat(spark):
+    r = random.Random(23)
+    text = lambda: " ".join(f"w{r.randrange(5000)}" for _ in range(100))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    near = lambda t: t + " more"
+    rows = [(None, a), (None, b), (None, b), (None, near(c)), (5, c), (7, d), (7, e), (7, e), (8, near(f)), (8, f), (9, f), (6, near(d))]
+    docs = spark.createDataFrame([(i, t, "en", None, len(t), 7, "clash") for i, t in rows], DOCS)
+    kept = corpus_pipeline.near_dedup_stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert Counter((x.doc_id, x.text) for x in kept.collect()) == Counter([(None, a), (None, b), (5, c), (6, near(d)), (7, e), (8, min(f, near(f)))])
