@@ -15,8 +15,6 @@ from pagelake.session import ship, table
 WS_CLASS = "[\\x20\\x09-\\x0D]"
 WS_CHARS = " \t\n\x0b\x0c\r"
 
-TOKENIZER_DIR = "/opt/tokenizers"
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor sees: spark.checkpoint.dir. Unset, a local master gets a folder of its own."""
@@ -52,6 +50,26 @@ def texts(spark: SparkSession, sf_dir: str, null: str = "") -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit(null)).alias("text"))
 
 
+def passing(rows: DataFrame, column: str, keys: DataFrame, bits: int = 26) -> tuple[DataFrame, DataFrame]:
+    """rows whose `column` may be among the values of keys' one column, and the rows where it surely isn't.
+
+    A bitmap of 2**bits hashed values is broadcast: 8 MB by default, however many keys there are. More keys than bits let
+    more rows pass, so an exact join has to follow; it then shuffles only the rows that passed. Null passes.
+    """
+    h = lambda c: F.xxhash64(c).bitwiseAND((1 << bits) - 1)
+    size = 15  # bitmap_construct_agg makes bitmaps of 2**15 bits
+    at = lambda c: (F.shiftright(h(c), size), h(c).bitwiseAND((1 << size) - 1))
+    (name,) = keys.columns
+    b, p = at(name)
+    maps = keys.select(b.alias("_b"), p.alias("_p")).distinct().groupBy("_b").agg(F.bitmap_construct_agg("_p").alias("_m"))
+    b, p = at(column)
+    byte = F.substring(F.col("_m"), F.shiftright(p, 3).cast("int") + 1, F.lit(1))
+    mask = F.call_function("shiftleft", F.lit(1), p.bitwiseAND(7).cast("int"))
+    hit = F.coalesce(F.conv(F.hex(byte), 16, 10).cast("int").bitwiseAND(mask) != 0, F.lit(False)) | F.col(column).isNull()
+    marked = rows.withColumn("_b", b).join(F.broadcast(maps), "_b", "left").withColumn("_hit", hit).drop("_b", "_m")
+    return marked.where("_hit").drop("_hit"), marked.where("not _hit").drop("_hit")
+
+
 def raw(column: pa.Array) -> list[bytes]:
     """A string column as bytes, without decoding."""
     return column.cast(pa.large_binary()).to_pylist()

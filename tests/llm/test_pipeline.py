@@ -146,6 +146,7 @@ def test_near_classes_equal_brute_force(spark):
     from hashlib import md5
 
     root = {bytes(x.key): bytes(x.root) for x in near_classes(docs).collect()}
+    assert root == {bytes(x.key): bytes(x.root) for x in near_classes(docs, hot=2).collect()}  # every shard is cut again
     found = [root.get(md5(t.encode()).digest(), t) for t in texts]
     parent = list(range(len(texts)))
 
@@ -173,3 +174,39 @@ def test_near_dedup_goes_by_text_when_doc_ids_are_null_or_repeat(spark):
     kept = corpus_pipeline.near_dedup_stage(spark, docs, "")
     assert kept.columns == docs.columns
     assert Counter((x.doc_id, x.text) for x in kept.collect()) == Counter([(None, a), (None, b), (5, c), (6, near(d)), (7, e), (8, min(f, near(f)))])
+
+
+def test_bitmap_lets_every_key_pass_however_small_it_is(spark):
+    from pagelake.llm._common import passing
+
+    rows = spark.createDataFrame([(i if i % 50 else None,) for i in range(2000)], "k long")
+    keys = spark.createDataFrame([(i,) for i in range(0, 2000, 7)], "other long")
+    for bits in (4, 15, 16, 26):
+        hit, miss = (sorted(x.k or -1 for x in d.collect()) for d in passing(rows, "k", keys, bits))
+        assert sorted(hit + miss) == sorted(i if i % 50 else -1 for i in range(2000))
+        assert not set(miss) & {-1, *range(0, 2000, 7)}
+        if bits == 26:
+            assert set(hit) == {-1, *[i for i in range(0, 2000, 7) if i % 50]}
+    assert passing(rows, "k", keys.limit(0))[0].count() == 40
+
+
+def test_pipeline_over_an_empty_table_and_one_of_nulls(spark, tmp_path):
+    write(spark, str(tmp_path), "documents", [], DOCS)
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+    docs = spark.createDataFrame([(None,) * 7] * 3, DOCS)
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, "").collect(), DOCS)
+        assert [tuple(x) for x in docs.collect()] == [(None,) * 7]
+
+
+def test_near_dedup_recall_over_documents(spark):
+    """Of pairs of five-word Jaccard 0.8 and more, found by brute force over a table, none stays whole."""
+    sf = "/root/testdata/sf0.001"
+    try:
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+    except Exception:
+        pytest.skip("no documents table here")
+    texts = {x.doc_id: shingle_set(x.text or "") for x in docs.collect()}
+    kept = {x.doc_id for x in corpus_pipeline.near_dedup_stage(spark, docs, sf).collect()}
+    ids = sorted(i for i in kept if texts[i])
+    assert not [(i, j) for k, i in enumerate(ids) for j in ids[:k] if 5 * len(texts[i] & texts[j]) >= 4 * len(texts[i] | texts[j])]
