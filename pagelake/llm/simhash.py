@@ -45,11 +45,6 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
         at += len(w) + 1
     starts.append(at)
     h = np.fromiter((digest(line[i : j - 1], seed) for i, j in zip(starts, starts[shingle:])), dtype=np.uint64, count=len(words) - shingle + 1)
-    return majority(h)
-
-
-def majority(h: np.ndarray) -> int:
-    """The bits that are set in over half the 64-bit hashes."""
     ones = np.zeros(BITS, dtype=np.int64)
     for i in range(0, len(h), 1 << 16):  # in slices: a long text needs no more memory
         ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
