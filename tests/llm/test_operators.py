@@ -258,20 +258,75 @@ def test_token_file_reads_only_the_frames_asked_for(tmp_path):
         list(Reader(f).parts(3))
 
 
-def test_op6_exact(spark, tmp_path):
-    r = np.random.default_rng(2)
-    vectors = [(int(i), [float(x) for x in r.standard_normal(8) * (0.1 + i % 7)]) for i in range(400)]
-    vectors += [(500, [1.0] * 8), (550, [1.0] * 8), (551, [1.0] * 8), (600, None), (650, [float("nan")] * 8), (700, [1.0, None] * 4), (750, [0.0] * 8), (None, [1.0] * 8), (100, vectors[100][1]), (800, [1.0] * 3)]
+def best_five(vectors):
+    """By query: (rank, vec_id, score) from exact integers; no pruning."""
+    from fractions import Fraction
+    from math import floor, isfinite
+
+    ok = [(i, [floor(Fraction(x) * 256) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and isfinite(x) for x in v)]
+    found = defaultdict(list)
+    for i, v in ok:
+        if i % 50 == 0:
+            s = sorted((-sum(map(int.__mul__, v, w)), j) for j, w in ok if j != i and len(w) == len(v))[:5]
+            found[i] += [(k + 1, j, max(-(2**63), min(2**63 - 1, -x))) for k, (x, j) in enumerate(s)]
+    return {i: sorted(x) for i, x in found.items() if x}
+
+
+def searched(spark, tmp_path, vectors, **sizes):
+    from pagelake.llm.topk import top_k
+
     write(spark, str(tmp_path), "embeddings", [(i, v, 1) for i, v in vectors], "vec_id long, embedding array<float>, label int")
+    table = spark.read.parquet(f"{tmp_path}/embeddings.parquet")
+    stored = [(x.vec_id, x.embedding) for x in table.collect()]
     found = defaultdict(list)
-    for x in sorted(rows(q.op6_top_k(spark, str(tmp_path))), key=lambda x: (x["query_id"], x["rank"])):
+    for x in rows(top_k(table, **sizes) if sizes else q.op6_top_k(spark, str(tmp_path))):
         found[x["query_id"]].append((x["rank"], x["vec_id"], x["score"]))
-    ok = [(i, np.floor(256 * np.array(v, dtype=np.float32).astype(float)).astype(int)) for i, v in vectors if i is not None and v is not None and None not in v and np.isfinite(v).all()]
-    for i, v in ok:
-        if i % 50 == 0 and i != 100:
-            s = sorted((-int(v @ w), j) for j, w in ok if j != i and len(w) == len(v))[:5]
-            assert found[i] == [(k + 1, j, -x) for k, (x, j) in enumerate(s)], i
-    assert set(found) == {i for i, _ in ok if i % 50 == 0} - {800}
+    return {i: sorted(x) for i, x in found.items()}, best_five(stored)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"bucket": 16, "block": 3}])
+def test_op6_exact(spark, tmp_path, sizes):
+    r = np.random.default_rng(2)
+    vectors = [(int(i), [float(x) for x in r.standard_normal(8) * (0.1 + i % 7)]) for i in range(400)]
+    vectors += [(500, [1.0] * 8), (550, [1.0] * 8), (551, [1.0] * 8), (600, None), (650, [float("nan")] * 8), (700, [1.0, None] * 4), (750, [0.0] * 8), (None, [1.0] * 8), (100, vectors[100][1]), (800, [1.0] * 3)]
+    vectors += [(850, []), (851, []), (852, [float("inf")] * 8), (900, [0.0] * 8)]
+    found, want = searched(spark, tmp_path, vectors, **sizes)
+    assert found == want and 800 not in found and found[850] == [(1, 851, 0)] and len(found[100]) == 10
+
+
+def test_op6_keeps_huge_vectors_and_exact_scores(spark, tmp_path):
+    """Products beyond doubles and beyond 64 bits, beside ordinary ones."""
+    r = np.random.default_rng(5)
+    vectors = [(int(i), [float(x) for x in r.standard_normal(2) * 10.0 ** (i % 38 - 4)]) for i in range(300)]
+    vectors += [(1000, [1e8, 1.0]), (1003, [3e7, 1.0]), (1004, [3e7, 2.0]), (1050, [3e38, -3e38]), (1051, [3.4e38, 3.4e38]), (1100, [2.0**22, 1.0]), (1101, [2.0**22, 1 / 256])]
+    found, want = searched(spark, tmp_path, vectors, bucket=32)
+    assert found == want and len(found[1000]) == 5
+
+
+def test_op6_both_ways_of_pruning_and_the_stop_are_met():
+    import pyarrow as pa
+
+    from pagelake.llm.topk import Block, Vectors
+
+    r = np.random.default_rng(9)
+    lengths = np.sort(r.lognormal(0, 1.5, 4000))[::-1] + 0.01
+    sides = r.standard_normal((40, 12))
+    x = sides[r.integers(0, 40, 4000)] + 0.15 * r.standard_normal((4000, 12))
+    x *= (lengths / np.linalg.norm(x, axis=1))[:, None]
+    whole = np.floor(256 * x)
+    norms = np.linalg.norm(whole, axis=1)
+    order = np.argsort(-norms)
+    made = lambda at: Vectors(np.array(at), norms[at], pa.array([v.astype("<f8").tobytes() for v in x[at]], pa.binary()), 12)
+    at = list(range(0, 4000, 40))
+    block, stopped = Block(made(at), 5), False
+    for k in range(0, 4000, 128):
+        if not block.bucket(made(order[k : k + 128].tolist())):
+            stopped = True
+            break
+    assert stopped and block.pruned["length"] > 0 and block.pruned["coordinates"] > 0 and block.pruned["stop"] > 0
+    for i, best in zip(at, block.best):
+        s = sorted((-int(whole[i] @ whole[j]), j) for j in range(4000) if j != i)[:5]
+        assert best == s
 
 
 def linked(prints, radius=3):
