@@ -5,10 +5,12 @@ position can reach further left only by a merge (a, z) whose right part z starts
 in a proper list, only by a merge of a later rank than the one before. So the longest chain of ranks r1 < r2 < ..., each
 rule's right part having the previous rule's left part on its left spine, weighted by the bytes of the left parts,
 bounds how far any text to come can reach back: tokens that end that many bytes before the end of what was read are
-final. `Encoder` emits them then and keeps only the rest, whatever the length of a word. Short words are memoised in a
-bounded memo.
+final. Every text is fed to an `Encoder` in slices: what a slice completes is final at once, as no merge crosses the end
+of a word, and of a word that goes on for long, the tokens that the lookahead makes final are emitted and the rest is
+kept. So memory is constant, whatever the length of a text or word. The memo of words only saves time; it is bounded.
 
-A null text is an empty one. Control strings of the vocabulary in a text become their ids, as in the library.
+A null text is an empty one. Control strings of the vocabulary in a text become their ids, as in the library. Repeated rows
+are rows each; an empty table gives an empty result; columns other than doc_id and text may have any name.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ UNIT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+")
 #: a run that is neither letters nor digits takes an apostrophe in, though one at its start would begin a contraction
 OTHERS = regex.compile(rf"[^{SPACE}\p{{L}}\p{{N}}]+")
-LONG = 256
-FEED = 1 << 14
+#: characters: of a unit that is memoised, of a slice, and of an unfinished word from which on stable tokens are emitted
+LONG, FEED, HELD = 256, 1 << 14, 1 << 10
 
 
 class Merges:
@@ -157,7 +159,7 @@ class Encoder:
         keep = units[-2:] if len(units) > 1 and units[-2].isspace() else units[-1:]
         self.tail = "".join(keep)
         out = self._units(units[: len(units) - len(keep)])
-        if len(self.tail) > 4 * FEED and self.look:
+        if len(self.tail) > 4 * HELD and self.look:
             if len(keep) > 1 and not keep[1].isspace():  # the white space before a long word is complete
                 out += self._units(keep[:1])
                 self.tail = keep[1]
@@ -189,7 +191,7 @@ class Encoder:
             return self._stable(self.tail[:-1], self.tail[-1])
         pieces = self._cut(self.tail)
         done, body = pieces[:-1], pieces[-1]
-        if len(body) <= FEED:  # short pieces: hold the last two, a contraction may go on
+        if len(body) <= HELD:  # short pieces: hold the last two, a contraction may go on
             self.tail, done = "".join(pieces[-2:]), pieces[:-2]
             self.inside = self.inside and not done
             return b"".join([array("I", self.v.merges.apply(p.encode())).tobytes() for p in done])
@@ -225,12 +227,9 @@ def encode(text: str, vocabulary: Vocabulary) -> Iterator[bytes]:
     for m in [*vocabulary.cut.finditer(text), None] if any(s in text for s in vocabulary.special) else [None]:
         encoder = Encoder(vocabulary)
         end = m.start() if m else len(text)
-        if end - at <= FEED:  # one feed: the whole segment is known
-            yield encoder._units(UNIT.findall(text[at:end] if at or m else text))
-        else:
-            for i in range(at, end, FEED):
-                yield encoder.feed(text[i : min(end, i + FEED)])
-            yield encoder.finish()
+        for i in range(at, end, FEED):
+            yield encoder.feed(text[i : min(end, i + FEED)])
+        yield encoder.finish()
         if m:
             yield array("I", [vocabulary.special[m[0]]]).tobytes()
             at = m.end()

@@ -33,7 +33,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm._common import raw, scratch, ship, stored
+from pagelake.llm._common import passing, raw, scratch, ship, stored
 
 LEAST = 1000
 #: Captures of a run; runs that are merged at once.
@@ -146,15 +146,16 @@ class LoserTree:
 
 
 def planned(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """page_id, url, html, and refers_to for revisits. The html rides through no shuffle on its payload: only digests are
-    grouped, pre-aggregated before they move, and a payload met once never joins."""
+    """page_id, url, html, and refers_to for revisits. Digests alone are grouped, pre-aggregated before they move; of the
+    html, only that of pages whose payload may be met again is shuffled."""
     p = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     slim = p.where(F.octet_length("html") >= least).select("page_id", F.sha1(F.encode("html", "UTF-8")).alias("d"), F.octet_length("html").alias("n"))
     many = slim.groupBy("d", "n").agg(F.max("page_id").alias("last"), F.count("*").alias("c")).where("c > 1 and last is not null").select("d", "n", "last")
     refers = slim.join(many, ["d", "n"]).where("page_id <> last").groupBy("page_id", "d").agg(F.max("last").alias("refers_to"))
-    big = F.when(F.octet_length("html") >= least, F.sha1(F.encode("html", "UTF-8")))
-    p = p.withColumn("d", big)
-    return p.join(refers, ["page_id", "d"], "left").select("page_id", "url", "html", "refers_to")
+    p = p.withColumn("d", F.when(F.octet_length("html") >= least, F.sha1(F.encode("html", "UTF-8"))).otherwise(""))
+    met, alone = passing(p, "d", refers.select("d"))
+    alone = alone.select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to"))
+    return met.join(refers, ["page_id", "d"], "left").select("page_id", "url", "html", "refers_to").unionByName(alone)
 
 
 def write_archives(pages: DataFrame, to: str, least: int = LEAST) -> DataFrame:

@@ -100,6 +100,7 @@ def test_bpe_streams_any_word_in_small_feeds(monkeypatch):
     t, v = Tokenizer.from_file(path), bpe.Vocabulary(path)
     assert 128 <= v.merges.lookahead < 4096
     monkeypatch.setattr(bpe, "FEED", 8)
+    monkeypatch.setattr(bpe, "HELD", 8)
     r = random.Random(1)
     for i in range(300):
         alphabet = ["then", "abcdefgh' é1 1.\n thein", "''.é’", " \n"][i % 4]
@@ -107,6 +108,25 @@ def test_bpe_streams_any_word_in_small_feeds(monkeypatch):
         assert bpe._whole(x, v)[0] == t.encode(x, add_special_tokens=False).ids
 
 
+def test_bpe_emits_stable_tokens_of_words_without_end():
+    """Words far longer than a slice, as shipped: the ids are the library's and little text is ever held."""
+    from tokenizers import Tokenizer
+
+    from pagelake.llm import bpe
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    t, v = Tokenizer.from_file(path), bpe.Vocabulary(path)
+    r = random.Random(6)
+    for alphabet in ("thenizaobc", "aé’ß漢字", "=-_.'", "0123456789", " ", "\n ", "xX'"):
+        text = "start " + "".join(r.choice(alphabet) for _ in range(100_000)) + " end"
+        encoder, out, most = bpe.Encoder(v), b"", 0
+        for i in range(0, len(text), bpe.FEED):
+            out += encoder.feed(text[i : i + bpe.FEED])
+            most = max(most, len(encoder.tail))
+        assert most <= 4 * bpe.HELD + 2 * bpe.FEED
+        assert np.frombuffer(out + encoder.finish(), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, alphabet
+
+
 def test_lookahead_is_sufficient_for_small_lists():
     from pagelake.llm.bpe import Merges
 
