@@ -231,17 +231,33 @@ def test_op4_base_spans(spark, sf):
     assert {r["doc_id"]: r["spans"] for r in found}[13] == "random:4:36"
 
 
-def test_secrets_are_masked_and_random_runs_told_from_ordinary_ones():
-    import base64
-
-    from pagelake.llm.secrets import masked, random_runs, spans
+def test_secrets_reports_control_false_discoveries_and_find_random_runs():
+    """A family of ordinary runs, of words that the reference hasn't, and of random ones in four encodings."""
+    from pagelake.llm.secrets import REFERENCE, cut_of, masked, ordinary, spans, weight
 
     r = random.Random(9)
-    hit = sum(bool(random_runs(base64.b64encode(bytes(r.randrange(256) for _ in range(36))).decode().replace("/", "x"))) for _ in range(200))
-    assert hit > 180
-    assert not random_runs("internationalisation2internationalisation the-long-way-home-2024-with-words")
+    words = "quarterly forecast pipeline invoice shipment keyboard mountain railway orchestra chemistry kitchen bicycle lantern gravity harvest".split()
+    plain = []
+    while len(plain) < 600:
+        style = r.choice(["camel", "snake", "kebab", "path"])
+        w = [r.choice(words) for _ in range(r.randint(2, 5))]
+        x = "".join(map(str.capitalize, w)) + str(r.randrange(100)) if style == "camel" else {"snake": "_", "kebab": "-", "path": "/"}[style].join(w)
+        plain += [x] if len(x) >= 16 else []
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789"]
+    secret = ["".join(r.choice(alphabets[i % 4]) for _ in range(n)) for n in (20, 24, 32, 40) for i in range(40)]
+    q = lambda x: ordinary(x) / (REFERENCE + 1) / weight(len(x))
+    cut = cut_of([(ordinary(x), len(x), 1) for x in plain + secret])
+    false, true = sum(q(x) <= cut for x in plain), [x for x in secret if q(x) <= cut]
+    assert false <= 0.1 * (false + len(true))
+    caught = lambda n: sum(len(x) == n for x in true) / 40
+    assert caught(20) > 0.8 and caught(24) > 0.9 and caught(40) > 0.97 and caught(40) >= caught(20)
+    assert cut_of([(ordinary(x), len(x), 1) for x in plain]) < 0, "nothing is reported where nothing is random"
+    assert cut_of([]) < 0 and spans("") == []
+    assert not spans("internationalisation2internationalisation the-long-way-home-2024-with-words " + "7" * 20)
     text = "a token=abcdefgh b"
     assert masked(text, spans(text)) == "a [SECRET] b"
+    run = secret[-1]
+    assert spans(f"{'word ' * 100_000}{run}.")[-1] == (500_000, 3, 500_000 + len(run))
 
 
 def test_op5_files_read_back(spark, sf, tmp_path):
