@@ -11,8 +11,17 @@ MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 UNIT_MS = {"second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000, "week": 7 * 86_400_000, "month": 30 * 86_400_000, "year": 365 * 86_400_000}
 
 
-def _i(v: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(v, pattern, group).try_cast("int")
+_NAMES = "(" + "|".join(MONTHS) + r")[a-z]*\.?"
+#: Each shape is rewritten to its parts behind a tag, none of which another shape matches.
+_SHAPES = [
+    (r"^(\d{10})$", "\x01s|$1"),
+    (r"^(\d{13})$", "\x01ms|$1"),
+    (r"^(?:in\s+)?(\d+)\s*(second|minute|hour|day|week|month|year)s?(\s+ago)?$", "\x01rel|$1|$2|$3"),
+    (r"^(\d{4})-(\d{2})-(\d{2})(?:[t ](\d{2}):(\d{2})(?::(\d{2}))?(?:\.\d+)?(z|[+-]\d{2}:?\d{2})?)?$", "\x01iso|$1|$2|$3|$4|$5|$6|$7"),
+    (rf"(?s)^(?:[a-z]+,\s*)?{_NAMES}\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}}).*$", "\x01day|$3|$1|$2"),
+    (rf"(?s)^(?:[a-z]+,\s*)?(\d{{1,2}})\s+{_NAMES},?\s+(\d{{4}}).*$", "\x01day|$3|$2|$1"),
+    (r"^(\d{1,4})[./-](\d{1,2})[./-](\d{2,4})$", "\x01num|$1|$2|$3"),
+]
 
 
 def _day(y: Column, m: Column, d: Column) -> Column:
@@ -24,41 +33,42 @@ def _day(y: Column, m: Column, d: Column) -> Column:
 def parse_date_ms(x, now: str = "2024-01-01T00:00:00Z", day_first: bool = False) -> Column:
     """Epoch milliseconds of the date in a text, or null. `now` is a literal of the run, so a run can be repeated."""
     v = F.lower(trim(text(x)))
+    for pattern, parts in _SHAPES:
+        v = F.regexp_replace(v, pattern, parts)
     now_ms = F.unix_millis(F.lit(now).cast("timestamp"))
     today = F.floor(now_ms / 86_400_000) * 86_400_000
-    rel = r"^(in\s+)?(\d+)\s*(second|minute|hour|day|week|month|year)s?(\s+ago)?$"
-    unit = F.lit(None).cast("long")
-    for name, ms in UNIT_MS.items():
-        unit = F.when(F.regexp_extract(v, rel, 3) == name, F.lit(ms).cast("long")).otherwise(unit)
-    sign = F.when(F.regexp_extract(v, rel, 4) != "", -1).otherwise(1)
-    iso = r"^(\d{4})-(\d{2})-(\d{2})(?:[t ](\d{2}):(\d{2})(?::(\d{2}))?(?:\.\d+)?(z|[+-]\d{2}:?\d{2})?)?$"
-    zone = F.regexp_extract(v, iso, 7)
-    shift = F.when(zone.isin("", "z"), 0).otherwise(
-        (F.substr(zone, F.lit(2), F.lit(2)).try_cast("int") * 60 + F.right(zone, F.lit(2)).try_cast("int")) * F.when(F.startswith(zone, F.lit("-")), -1).otherwise(1)
-    )
-    part = lambda g: F.coalesce(_i(v, iso, g), F.lit(0))
-    iso_ms = _day(_i(v, iso, 1), _i(v, iso, 2), _i(v, iso, 3)) + (part(4) * 3600 + part(5) * 60 + part(6)).cast("long") * 1000 - shift.cast("long") * 60_000
-    names = "(" + "|".join(MONTHS) + r")[a-z]*\.?"
-    mdy, dmy = rf"^(?:[a-z]+,\s*)?{names}\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})", rf"^(?:[a-z]+,\s*)?(\d{{1,2}})\s+{names},?\s+(\d{{4}})"
-    month = lambda p, g: F.array_position(F.array(*map(F.lit, MONTHS)), F.regexp_extract(v, p, g)).cast("int")
-    num = r"^(\d{1,4})[./-](\d{1,2})[./-](\d{2,4})$"
-    a, b, c = _i(v, num, 1), _i(v, num, 2), _i(v, num, 3)
-    year = F.when(c < 100, F.when(c > 50, c + 1900).otherwise(c + 2000)).otherwise(c)
-    day_is_first = (a > 12) | ((b <= 12) & F.lit(day_first))
-    numeric = F.when(a > 31, _day(a, b, c)).when(day_is_first, _day(year, b, a)).otherwise(_day(year, a, b))
-    return (
-        F.when(v.rlike(r"^\d{10}$"), v.try_cast("long") * 1000)
-        .when(v.rlike(r"^\d{13}$"), v.try_cast("long"))
-        .when(v == "now", now_ms)
-        .when(v == "today", today)
-        .when(v == "yesterday", today - 86_400_000)
-        .when(v == "tomorrow", today + 86_400_000)
-        .when(v.rlike(rel), now_ms + sign * _i(v, rel, 2).cast("long") * unit)
-        .when(v.rlike(iso), iso_ms)
-        .when(v.rlike(mdy), _day(_i(v, mdy, 3), month(mdy, 1), _i(v, mdy, 2)))
-        .when(v.rlike(dmy), _day(_i(v, dmy, 3), month(dmy, 2), _i(v, dmy, 1)))
-        .when(v.rlike(num), numeric)
-    ).cast("long")
+
+    def of(p: Column) -> Column:
+        tag, at = p[0], lambda i: F.get(p, F.lit(i))
+        i = lambda k: at(k).try_cast("int")
+        unit = F.element_at(F.create_map(*[F.lit(u) for pair in UNIT_MS.items() for u in pair]), at(2)).cast("long")
+        sign = F.when(at(3) != "", -1).otherwise(1)
+        zone = at(7)
+        shift = F.when(zone.isin("", "z"), 0).otherwise(
+            (F.substr(zone, F.lit(2), F.lit(2)).try_cast("int") * 60 + F.right(zone, F.lit(2)).try_cast("int")) * F.when(F.startswith(zone, F.lit("-")), -1).otherwise(1)
+        )
+        part = lambda k: F.coalesce(i(k), F.lit(0))
+        iso = _day(i(1), i(2), i(3)) + (part(4) * 3600 + part(5) * 60 + part(6)).cast("long") * 1000 - shift.cast("long") * 60_000
+        month = F.array_position(F.array(*map(F.lit, MONTHS)), at(2)).cast("int")
+        a, b, c = i(1), i(2), i(3)
+        year = F.when(c < 100, F.when(c > 50, c + 1900).otherwise(c + 2000)).otherwise(c)
+        day_is_first = (a > 12) | ((b <= 12) & F.lit(day_first))
+        return (
+            F.when(tag == "\x01s", at(1).try_cast("long") * 1000)
+            .when(tag == "\x01ms", at(1).try_cast("long"))
+            .when(tag == "\x01rel", now_ms + sign * i(1).cast("long") * unit)
+            .when(tag == "\x01iso", iso)
+            .when(tag == "\x01day", _day(a, month, c))
+            .when(tag == "\x01num", F.when(a > 31, _day(a, b, c)).when(day_is_first, _day(year, b, a)).otherwise(_day(year, a, b)))
+            .when(tag == "now", now_ms)
+            .when(tag == "today", today)
+            .when(tag == "yesterday", today - 86_400_000)
+            .when(tag == "tomorrow", today + 86_400_000)
+            .cast("long")
+        )
+
+    # the parts are split once and named, or every branch would split them again
+    return F.transform(F.array(F.split(v, r"\|")), of)[0]
 
 
 def format_ms(ms: Column, output: str = "iso") -> Column:

@@ -179,20 +179,30 @@ def slug(x, ascii_only: bool = False):
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+#: Each step reads its input once, so the expression stays small however it is nested. A semicolon marks a decimal sign.
+_SEPARATORS = [
+    # dots alone, several or before three digits: they part thousands
+    (r"(?<=^[^,]{0,200})(?:\.(?=[^,.]*\.[^,]*$)|(?<=\.[^,]{0,200})\.(?=[^,]*$)|(?<=^\d{1,3})\.(?=\d{3}$))", ""),
+    # a dot after the last comma is the decimal sign
+    (r",(?=(?:.*,)?[^,]*\.[^,]*$)", ""),
+    # otherwise, where there are dots, the first comma is
+    (r"^(?=.*\.)([^,]*),", "$1;"),
+    (r"\.(?=.*;)|(?<=;.{0,200})\.", ""),
+    # commas alone: several or one before three digits part thousands, or else the first is the decimal sign
+    (r"(?<!;.{0,200})(?!.*;)(?:(?<=^\d{1,3}),(?=\d{3}$)|,(?=.*,[^,]{3}$)|(?<=,.{0,200}),(?=[^,]{3}$))", ""),
+    (r"^([^,.;]*),", "$1."),
+]
+
+
 @transform("number")
 def number(x):
     """The number that a text shows, whatever its separators; null if none."""
-    raw = F.regexp_replace(F.regexp_replace(F.trim(text(x)), "[\u2212\u2012\u2013\u2014]", "-"), "[\u00a0\u202f\u2009]", "")
-    negative = raw.rlike(r"^\s*[-(]") | raw.rlike(r"-\s*$")
-    n = F.regexp_replace(F.regexp_substr(raw, F.lit(r"-?\d[\d., ']*\d|\d")), "[ ']", "")
-    dot, comma = F.contains(n, F.lit(".")), F.contains(n, F.lit(","))
-    decimal_comma = F.regexp_replace(n, "^([^,]*),", "$1.")
-    both = F.when(n.rlike(r"\.[^,]*$"), F.replace(n, F.lit(","), F.lit(""))).otherwise(F.regexp_replace(F.replace(n, F.lit("."), F.lit("")), "^([^,]*),", "$1."))
-    one_comma = F.when(n.rlike(",[^,]{3}$") & (n.rlike(",.*,") | n.rlike(r"^\d{1,3},\d{3}$")), F.replace(n, F.lit(","), F.lit(""))).otherwise(decimal_comma)
-    one_dot = F.when(n.rlike(r"\..*\.") | n.rlike(r"^\d{1,3}\.\d{3}$"), F.replace(n, F.lit("."), F.lit(""))).otherwise(n)
-    v = F.when(dot & comma, both).when(comma, one_comma).when(dot, one_dot).otherwise(n)
-    f = F.regexp_substr(v, F.lit(r"^-?(\d+\.?\d*|\.\d+)")).try_cast("double")
-    return F.when(negative & (f > 0), -f).otherwise(f)
+    raw = F.translate(F.trim(text(x)), "−‒–—   ", "----")
+    v = F.translate(F.regexp_substr(raw, F.lit(r"-?\d[\d., ']*\d|\d")), " '", "")
+    for pattern, to in _SEPARATORS:
+        v = F.regexp_replace(v, pattern, to)
+    size = F.abs(F.regexp_substr(F.translate(v, ";", "."), F.lit(r"^-?(\d+\.?\d*|\.\d+)")).try_cast("double"))
+    return size * F.when(raw.rlike(r"^\s*[-(]|-\s*$|^\D*-\d[\d., ']*\d"), -1.0).otherwise(1.0) + 0.0
 
 
 REGISTRY["float"] = REGISTRY["currency"] = number
@@ -200,8 +210,7 @@ REGISTRY["float"] = REGISTRY["currency"] = number
 
 @transform("int")
 def integer(x):
-    n = number(x)
-    return F.when(n < 0, F.ceil(n)).otherwise(F.floor(n)).cast("long")
+    return number(x).try_cast("long")  # towards zero
 
 
 @transform("round")
