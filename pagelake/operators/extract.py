@@ -229,40 +229,40 @@ def extract(pages: DataFrame, spec: dict, html: str = "html", url: str = "url",
     return raw.select(*keep, "_pos", *columns, F.array_compact(F.array(*notes)).alias("_extract_issues"))
 
 
-def page_reader(kind: str, returns: str):
-    """A UDF over (html, url) that gives one reader of the page."""
+READERS = {
+    "title": "string", "text": "string", "canonical": "string", "next_page": "string", "json_ld": "array<string>", "microdata": "array<string>", "meta": "map<string,string>", "open_graph": "map<string,string>",
+    "links": "array<struct<url:string,text:string,rel:string,title:string>>",
+    "tables": "array<struct<caption:string,headers:array<string>,rows:array<array<string>>,records:array<map<string,string>>>>",
+}
+
+
+def page_reader(kinds: tuple[str, ...]):
+    """A UDF over (html, url): the page is parsed once and read in every way asked for."""
 
     def one(h, u):
         from pagelake.html.page import Page
 
-        p = Page(h, u)
-        if kind == "json_ld":
-            return [json.dumps(b, ensure_ascii=False) for b in p.json_ld]
-        if kind == "microdata":
-            return [json.dumps(b, ensure_ascii=False) for b in p.microdata]
-        if kind in ("meta",):
-            return p.meta
-        f = getattr(p, kind)
-        return f()
+        p, found = Page(h, u), []
+        for kind in kinds:
+            if kind in ("json_ld", "microdata"):
+                found.append([json.dumps(b, ensure_ascii=False) for b in getattr(p, kind)])
+            else:
+                found.append(p.meta if kind == "meta" else getattr(p, kind)())
+        return found
 
-    @F.pandas_udf(returns)
-    def read_page(html: pd.Series, url: pd.Series) -> pd.Series:
-        return pd.Series([one(h, u) for h, u in zip(html, url)])
+    @F.pandas_udf(", ".join(f"{k} {READERS[k]}" for k in kinds))
+    def read_page(html: pd.Series, url: pd.Series) -> pd.DataFrame:
+        rows = [one(h, u) for h, u in zip(html, url)]
+        return pd.DataFrame({k: pd.Series([r[i] for r in rows], dtype=object) for i, k in enumerate(kinds)})
 
     return read_page
 
 
-READERS = {
-    "title": "string", "text": "string", "canonical": "string", "next_page": "string", "json_ld": "array<string>", "microdata": "array<string>", "meta": "map<string,string>", "open_graph": "map<string,string>",
-    "links": "array<struct<url:string,text:string,rel:string,title:string>>",
-    "tables": "array<struct<caption:string,headers:array<string>,rows:array<array<string>>,records:array<map<string,string>>>>",
-}
-
-
 def read_pages(pages: DataFrame, *kinds: str, html: str = "html", url: str = "url") -> DataFrame:
-    """pages with a column per reader."""
+    """pages with a column per reader, all from one parse of each page."""
     ship(pages.sparkSession)
-    return pages.withColumns({k: page_reader(k, READERS[k])(F.col(html), F.col(url)) for k in kinds})
+    read = pages.withColumn("_read", page_reader(kinds)(F.col(html), F.col(url)))
+    return read.withColumns({k: F.col("_read")[k] for k in kinds}).drop("_read")
 
 
 def metadata(records: DataFrame, run_at: str, depth=None, label=None) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagelake.session import exists
+
 IGNORED = ("_scraped_at", "_url", "_depth")
 
 
@@ -58,20 +60,53 @@ class Bloom:
         self.m = max(1024, math.ceil(-capacity * math.log(p) / math.log(2) ** 2))
         self.k = max(1, round(self.m / capacity * math.log(2)))
 
-    def bits(self, c: Column) -> Column:
+    def bits(self, c: Column) -> list[Column]:
         a, b = F.xxhash64(c, F.lit(1)), F.xxhash64(c, F.lit(2)).bitwiseOR(F.lit(1))
-        return F.array(*[F.pmod(a + i * (b % F.lit(1 << 40)), F.lit(self.m)) for i in range(self.k)])
+        return [F.pmod(a + i * (b % F.lit(1 << 40)), F.lit(self.m)) for i in range(self.k)]
 
     def build(self, df: DataFrame, c: str) -> DataFrame:
-        """(bit) of the filter, at most m rows."""
-        return df.select(F.explode(self.bits(F.col(c))).alias("bit")).distinct()
+        """One row (bits): the filter, m / 8 bytes, whatever the number of keys."""
+        part = 1 << 15  # bits of a bitmap_construct_agg
+        set_ = df.select(F.explode(F.array(*self.bits(F.col(c)))).alias("bit")).distinct()
+        maps = set_.groupBy(F.floor(F.col("bit") / part).alias("id")).agg(F.bitmap_construct_agg(F.col("bit") % part).alias("map"))
+        every = df.sparkSession.range(-(-self.m // part)).join(maps, "id", "left").select("id", F.coalesce(F.hex("map"), F.lit("00" * (part // 8))).alias("map"))
+        return every.agg(F.array_sort(F.collect_list(F.struct("id", "map"))).alias("maps")).select(F.unhex(F.array_join(F.transform("maps", lambda x: x["map"]), "")).alias("bits"))
 
     def maybe(self, df: DataFrame, c: str, bloom: DataFrame) -> DataFrame:
-        """Rows that may be in the filter; the rest certainly aren't."""
-        probe = df.select(F.col(c).alias("_c")).distinct().select("_c", F.explode(F.array_distinct(self.bits(F.col("_c")))).alias("bit"))
-        need = F.size(F.array_distinct(self.bits(F.col("_c"))))
-        hit = probe.join(bloom, "bit").groupBy("_c").agg(F.count("*").alias("n")).where(F.col("n") == need).select("_c")
-        return df.join(hit, df[c] == hit["_c"], "left_semi")
+        """Rows that may be in the filter; the rest certainly aren't. A projection: no row is shuffled."""
+        bits = bloom.scalar()
+        on = [F.conv(F.hex(F.substring(bits, F.shiftright(p, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int").bitwiseAND(F.call_function("shiftleft", F.lit(1), (p % 8).cast("int"))) != 0 for p in self.bits(F.col(c))]
+        return df.where(reduce(lambda x, y: x & y, on))
+
+
+def validation_stats(validated: DataFrame) -> DataFrame:
+    """One row: checked, valid, invalid, quarantined, dropped."""
+    bad = F.size("_issues") > 0
+    of = lambda a: F.count_if(F.col("action") == a)
+    return validated.agg(F.count("*").alias("checked"), F.count_if(~bad).alias("valid"), F.count_if(bad).alias("invalid"), of("quarantine").alias("quarantined"), of("drop").alias("dropped"))
+
+
+class SeenStore:
+    """The keys of earlier runs: a Parquet table that names the version of its keys. Another version is refused."""
+
+    VERSION = 2
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def load(self, spark) -> DataFrame:
+        """(key); empty if there is no store yet."""
+        if not exists(spark, self.path):
+            return spark.createDataFrame([], "key string")
+        kept = spark.read.parquet(self.path)
+        if kept.where(F.col("version") != self.VERSION).limit(1).count():
+            raise ValueError(f"{self.path} has keys of another version than {self.VERSION}")
+        return kept.select("key")
+
+    def add(self, keys: DataFrame) -> None:
+        """Appends the keys that the store hasn't."""
+        new = unseen(keys.select("key").distinct(), self.load(keys.sparkSession))
+        new.withColumn("version", F.lit(self.VERSION)).write.mode("append").parquet(self.path)
 
 
 def is_empty(c: Column, kind: T.DataType) -> Column:

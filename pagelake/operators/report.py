@@ -74,7 +74,36 @@ def pacing(rps: float, jitter: float = 0.0, cap_ms: float = float("inf"), min_de
     return 1000 / (nominal + min(nominal * jitter, cap_ms) / 2)
 
 
+def skip_reasons(links: DataFrame) -> DataFrame:
+    """(reason, n): why links weren't followed."""
+    return links.where("reason <> 'ok'").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def efficiency(log: DataFrame) -> DataFrame:
+    """Ratios of a log with a row per request (status, items, written, cached, rendered), in one row."""
+    ok = F.count_if(F.col("status").between(200, 299))
+    share = lambda c: F.round(F.count_if(c).cast("double") * 100 / F.nullif(F.count("*"), F.lit(0)), 1)
+    ratio = lambda a, b: F.round(a.cast("double") / F.nullif(b, F.lit(0)), 2)
+    return log.agg(
+        ratio(F.count("*"), F.sum("written")).alias("requests_per_record"), ratio(F.sum("items"), ok).alias("records_per_page"),
+        share(F.col("cached")).alias("cache_hit_rate"), share(F.col("rendered")).alias("render_rate"),
+    )
+
+
+def live(df: DataFrame, name: str, **totals) -> DataFrame:
+    """df whose progress can be watched while it runs: `observe` counts its rows, and each total given, under a name."""
+    return df.observe(name, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in totals.items()])
+
+
+def sketch(events: DataFrame, name: str, value: str, accuracy: int = 10_000) -> DataFrame:
+    """As histogram(), with percentiles of bounded memory: their ranks are off by at most n / accuracy."""
+    at = F.percentile_approx(value, [0.5, 0.9, 0.99], accuracy)
+    found = events.groupBy(name).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), at.alias("p"))
+    return found.select(name, "n", "least", "most", *[F.col("p")[i].alias(k) for i, k in enumerate(("p50", "p90", "p99"))])
+
+
 def prometheus(metrics: DataFrame) -> DataFrame:
     """Exposition lines of (name, labels map, value)."""
-    labels = F.array_join(F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), e["value"], F.lit('"'))), ",")
+    escaped = lambda v: F.replace(F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    labels = F.array_join(F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), escaped(e["value"]), F.lit('"'))), ",")
     return metrics.select(F.concat("name", F.when(labels == "", "").otherwise(F.concat(F.lit("{"), labels, F.lit("}"))), F.lit(" "), F.col("value").cast("string")).alias("line"))
