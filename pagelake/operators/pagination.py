@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagelake.functions.transforms import col, java_replacement
+from pagelake.functions.transforms import col
 
 
 @dataclass(frozen=True)
@@ -45,4 +45,4 @@ def with_param(url, param: str, start: int = 1, step: int = 1) -> Column:
     pair = F.concat(F.lit(f"{param}="), (now + step).cast("string"))
     base, rest = F.substring_index(u, "#", 1), F.regexp_extract(u, "(#.*)$", 1)
     added = F.concat(base, F.when(F.contains(base, F.lit("?")), "&").otherwise("?"), pair, rest)
-    return F.when(has, F.regexp_replace(u, F.lit(rf"([?&]){name}=[^&#]*"), F.concat(F.lit("$1"), F.replace(pair, F.lit("$"), F.lit(java_replacement("\\$")))))).otherwise(added)
+    return F.when(has, F.regexp_replace(u, F.lit(rf"([?&]){name}=[^&#]*"), F.concat(F.lit("$1"), pair))).otherwise(added)

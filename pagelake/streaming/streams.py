@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelake.session import scratch
+
 
 def source(spark: SparkSession, path: str, like: DataFrame | None = None, per_batch: int | None = None) -> DataFrame:
     """A stream of the Parquet files that arrive under a path; timestamps without zone become UTC instants."""
@@ -28,11 +29,15 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 
 def drain(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there now, into a table in memory. For bounded results."""
-    name = "drained_" + uuid.uuid4().hex[:8]
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Runs a stream over all that is there now, into a table in the shared folder beside its checkpoint."""
+    to = scratch(df.sparkSession, "drained")
+    w = df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{to}-checkpoint")
+    if mode == "append":
+        q = w.format("parquet").start(to)
+    else:  # each batch is the whole result so far
+        q = w.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(to)).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(to)
 
 
 def each_batch(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):
@@ -49,10 +54,12 @@ def tumbling(df: DataFrame, ts: str, size: str, *by: str) -> DataFrame:
     return df.groupBy(F.window(ts, size).alias("w"), *by)
 
 
-def _seconds(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    parts = list(rows)
-    df = pd.concat(parts) if parts else pd.DataFrame()
-    return df.sort_values(["at", "event_id"]) if len(df) else df
+def _in_order(rows: Iterator[pd.DataFrame]) -> list[tuple]:
+    """(at, event_id, status) of a host's rows of a batch, in order: three numbers a row, whatever the columns."""
+    found = []
+    for part in rows:
+        found += zip(part["at"].tolist(), part["event_id"].tolist(), part["status"].tolist())
+    return sorted(found)
 
 
 def paced(df: DataFrame, rate: float, burst: float = 1.0) -> DataFrame:
@@ -65,18 +72,18 @@ def paced(df: DataFrame, rate: float, burst: float = 1.0) -> DataFrame:
     def run(key, rows, state):
         tokens, last, share, good = state.get if state.exists else (burst, 0.0, 1.0, 0)
         out = []
-        for r in _seconds(rows).itertuples():
-            now = max(r.at, last)
+        for at, event, status in _in_order(rows):
+            now = max(at, last)
             tokens = min(burst, tokens + (now - last) * rate * share)
             if tokens < 1:
                 now += (1 - tokens) / (rate * share)
                 tokens = 1.0
             tokens, last = tokens - 1, now
-            if r.status in (429, 503, 509):
+            if status in (429, 503, 509):
                 share, good = max(0.05, share / 2), 0
             elif (good := good + 1) >= 10:
                 share, good = min(1.0, share * 1.1), 0
-            out.append((key[0], r.event_id, now))
+            out.append((key[0], event, now))
         state.update((float(tokens), float(last), float(share), int(good)))
         yield pd.DataFrame(out, columns=["host", "event_id", "scheduled_at"])
 
@@ -93,18 +100,18 @@ def breaker(df: DataFrame, streak: int = 5, window: int = 20, least: int = 10, r
     def run(key, rows, state):
         mode, fails, opened, trips, recent = state.get if state.exists else ("closed", 0, 0.0, 0, "")
         out = []
-        for r in _seconds(rows).itertuples():
-            if mode == "open" and r.at >= opened + min(most, cooldown * 2 ** (trips - 1)):
+        for at, event, status in _in_order(rows):
+            if mode == "open" and at >= opened + min(most, cooldown * 2 ** (trips - 1)):
                 mode = "half-open"
             allowed = mode != "open"
-            out.append((key[0], r.event_id, mode, allowed))
+            out.append((key[0], event, mode, allowed))
             if not allowed:
                 continue
-            bad = r.status >= 400
+            bad = status >= 400
             fails = fails + 1 if bad else 0
             recent = (recent + ("x" if bad else "."))[-window:]
             if bad and (mode == "half-open" or fails >= streak or len(recent) >= least and recent.count("x") / len(recent) >= rate):
-                mode, opened, trips, recent = "open", float(r.at), trips + 1, ""
+                mode, opened, trips, recent = "open", float(at), trips + 1, ""
             elif not bad and mode == "half-open":
                 mode, trips = "closed", 0
         state.update((mode, int(fails), float(opened), int(trips), recent))

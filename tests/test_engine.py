@@ -103,16 +103,17 @@ def test_listing_and_details(spark, site, tmp_path):
     assert {x.field: x.fill_rate for x in r.health().collect()} == {"name": 100.0, "price": 100.0}
 
 
-def test_recipe_checks(tmp_path):
+def test_recipe_checks(spark, tmp_path):
     with pytest.raises(R.RecipeError, match="did you mean \"trim\""):
         R.compiled({"extract": {"fields": {"a": {"selector": "h1", "transform": ["trimm"]}}}})
     assert any("extract.a" in p for p in R.problems(R.normalised({"extract": {"fields": {"a": "h1["}}})))
     assert R.interpolated("${A} ${B:-c}", {"A": "x"}) == "x c"
     one = R.normalised({"startUrls": "http://a", "extract": {"fields": {"a": "b"}}})
     assert one["start_urls"] == [{"url": "http://a"}]
-    R.check_resume(str(tmp_path), one)
+    R.check_resume(spark, str(tmp_path), one)
+    R.check_resume(spark, str(tmp_path), one)
     with pytest.raises(R.RecipeError):
-        R.check_resume(str(tmp_path), R.normalised({"startUrls": "http://b"}))
+        R.check_resume(spark, str(tmp_path), R.normalised({"startUrls": "http://b"}))
 
 
 def test_sinks(spark, tmp_path):
