@@ -80,7 +80,7 @@ def retry_after_ms(value, now) -> Column:
     """Retry-After in milliseconds: seconds, or an HTTP date."""
     v = F.trim(col(value))
     at = F.try_to_timestamp(F.regexp_replace(v, r"^[A-Za-z]+,\s*|\s*GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
-    return F.coalesce(F.when(v.rlike(r"^\d+$"), v.try_cast("long") * 1000), F.greatest(F.lit(0).cast("long"), F.unix_millis(at) - F.unix_millis(col(now).cast("timestamp"))))
+    return F.coalesce(F.when(v.rlike(r"^\d+$"), v.try_cast("long") * 1000), F.when(at.isNotNull(), F.greatest(F.lit(0).cast("long"), F.unix_millis(at) - F.unix_millis(col(now).cast("timestamp")))))
 
 
 def error_class(status) -> Column:

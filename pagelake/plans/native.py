@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagelake.functions import dates, policy, urls
 from pagelake.functions import transforms as t
-from pagelake.operators import records, report
-from pagelake.session import ship, table
+from pagelake.operators import frontier, records, report
+from pagelake.operators.pagination import Counting
+from pagelake.session import ship, spread, table
 from pagelake.sources import cache, robots, sitemap
 
 QUERIES: dict = {}
@@ -26,11 +26,11 @@ def query(sql: str | None = None):
 
 
 def simple(name: str, source: str, columns: dict, sql: str) -> None:
-    """A projection of one table."""
+    """A projection of one table; a small one is spread over all cores first."""
 
     def run(spark, sf_dir):
         ship(spark)
-        return table(spark, sf_dir, source).select(*[c.alias(n) for n, c in ((n, m() if callable(m) else m) for n, m in columns.items())])
+        return spread(table(spark, sf_dir, source)).select(*[c.alias(n) for n, c in ((n, m() if callable(m) else m) for n, m in columns.items())])
 
     run.__name__ = name
     query(sql)(run)
@@ -154,11 +154,12 @@ def sitemap_parse(spark, sf_dir):
 
 @query("SELECT url AS loc FROM pages")
 def sitemap_recursive(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    part = (col("page_id") % 5).cast("string")
-    child = p.groupBy(part.alias("n")).agg(F.array_join(F.collect_list(F.concat(lit("<url><loc>"), F.replace("url", lit("&"), lit("&amp;")), lit("</loc></url>"))), "").alias("content")).select(F.concat(lit("http://s/"), "n").alias("sitemap"), "content")
-    root = child.select(F.concat(lit("<sitemap><loc>"), "sitemap", lit("</loc></sitemap>")).alias("x")).groupBy().agg(F.array_join(F.collect_list("x"), "").alias("content")).select(lit("http://s/root").alias("sitemap"), "content")
-    return sitemap.read(root.select("sitemap"), child.unionByName(root)).select("loc")
+    """Sitemaps of up to 100 pages, listed in indexes of up to 100 sitemaps: no file grows with the table."""
+    p = table(spark, sf_dir, "pages").select("url", F.floor(col("page_id") / 100).alias("n"))
+    entry = lambda tag, u: F.concat(lit(f"<{tag}><loc>"), F.replace(u, lit("&"), lit("&amp;")), lit(f"</loc></{tag}>"))
+    child = p.groupBy("n").agg(F.array_join(F.collect_list(entry("url", col("url"))), "").alias("content")).withColumn("sitemap", F.concat(lit("http://s/"), col("n").cast("string")))
+    index = child.groupBy(F.floor(col("n") / 100).alias("m")).agg(F.array_join(F.collect_list(entry("sitemap", col("sitemap"))), "").alias("content")).select(F.concat(lit("http://i/"), col("m").cast("string")).alias("sitemap"), "content")
+    return sitemap.read(index.select("sitemap"), child.select("sitemap", "content").unionByName(index)).select("loc")
 
 
 simple("detect_block", "pages", {"page_id": lambda: col("page_id"), "blocked": lambda: policy.detect_block(F.when(col("page_id") % 5 == 0, "<div class='g-recaptcha'></div>").otherwise(col("html")), F.when(col("page_id") % 5 == 0, 403).otherwise(200))["blocked"], "vendor": lambda: policy.detect_block(F.when(col("page_id") % 5 == 0, "<div class='g-recaptcha'></div>").otherwise(col("html")))["vendor"]},
@@ -199,12 +200,15 @@ def dedupe_stats(spark, sf_dir):
     return records.dedupe_stats(table(spark, sf_dir, "documents"), F.sha1("text"))
 
 
-@query("SELECT count(*) AS kept FROM documents WHERE doc_id < 100")
+@query("SELECT count(*) AS kept, true AS few_false FROM documents WHERE md5(text) IN (SELECT md5(text) FROM documents WHERE lang = 'en')")
 def bloom_no_false_negative(spark, sf_dir):
-    """Every key that was added is found; the filter's other hits are taken out by the exact join after it."""
-    b, d = records.Bloom(1000), table(spark, sf_dir, "documents").select("doc_id", F.md5(F.concat("text", "doc_id")).alias("key"))
-    known = d.where("doc_id < 100")
-    return b.maybe(d, "key", b.build(known, "key")).join(known.select("key"), "key", "left_semi").agg(F.count("*").alias("kept"))
+    """A filter of all English texts, probed with all texts: none of them is missed, and few others pass."""
+    d = table(spark, sf_dir, "documents").select("lang", F.md5("text").alias("key"))
+    known = d.where("lang = 'en'")
+    b = records.Bloom(max(1000, known.count()))
+    passed = b.maybe(d, "key", b.build(known, "key")).join(known.select("key").distinct().withColumn("true", lit(True)), "key", "left")
+    n, kept = F.count("*"), F.count_if(col("true"))
+    return passed.agg(kept.alias("kept"), (n - kept <= 0.05 * n + 5).alias("few_false"))
 
 
 RULES = {"c_acctbal": {"type": "number", "min": 0, "max": 9000}, "c_mktsegment": {"required": True, "enum": ["BUILDING", "MACHINERY"]}, "c_name": {"minLength": 3, "pattern": "[02468]$"}}
@@ -291,41 +295,36 @@ def prometheus_lines(spark, sf_dir):
     return report.prometheus(m)
 
 
-@query()
+@query(f"SELECT host, count(DISTINCT bytes) AS exact, true AS close FROM {LOG} GROUP BY host")
 def approx_distinct(spark, sf_dir):
-    return _log(spark, sf_dir).groupBy("host").agg(F.approx_count_distinct("bytes").alias("users"))
+    """The sketch beside the exact number: it stays within four of its standard errors."""
+    found = _log(spark, sf_dir).groupBy("host").agg(F.approx_count_distinct("bytes", 0.02).alias("n"), F.count_distinct("bytes").alias("exact"))
+    return found.select("host", "exact", (F.abs(col("n") - col("exact")) <= 0.08 * col("exact")).alias("close"))
 
 
 @query("SELECT event_id, host, row_number() OVER (PARTITION BY host ORDER BY status, event_id)::INTEGER AS place FROM " + LOG)
 def frontier_order(spark, sf_dir):
-    w = Window.partitionBy("host").orderBy("status", "event_id")
-    return _log(spark, sf_dir).select("event_id", "host", F.row_number().over(w).alias("place"))
+    return frontier.placed(_log(spark, sf_dir).select("event_id", "host", "status"), "host", "status", "event_id").drop("status")
 
 
-@query("SELECT event_id, host, turn FROM (SELECT event_id, host, row_number() OVER (PARTITION BY host ORDER BY status, event_id)::INTEGER AS turn FROM " + LOG + ") ORDER BY turn, host LIMIT 50")
+@query("SELECT event_id, host, row_number() OVER (PARTITION BY host ORDER BY status, event_id)::INTEGER AS turn FROM " + LOG)
 def host_round_robin(spark, sf_dir):
-    w = Window.partitionBy("host").orderBy("status", "event_id")
-    return _log(spark, sf_dir).select("event_id", "host", F.row_number().over(w).alias("turn")).orderBy("turn", "host")
+    return frontier.round_robin(_log(spark, sf_dir).select("event_id", "host", "status"), "host", "status", "event_id").drop("status")
 
 
 @query(f"SELECT event_id, avg((status >= 400)::INT::DOUBLE) OVER (PARTITION BY host ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS rate FROM {LOG}")
 def rolling_failure_rate(spark, sf_dir):
-    w = Window.partitionBy("host").orderBy("event_id").rowsBetween(-19, 0)
-    return _log(spark, sf_dir).select("event_id", F.avg((col("status") >= 400).cast("double")).over(w).alias("rate"))
+    return frontier.rolling_rate(_log(spark, sf_dir), "host", "event_id", col("status") >= 400).select("event_id", "rate")
 
 
 @query(f"WITH a AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY event_id) - row_number() OVER (PARTITION BY host, status >= 400 ORDER BY event_id) AS g FROM {LOG}) SELECT host, max(n) AS longest FROM (SELECT host, g, count(*) AS n FROM a WHERE status >= 400 GROUP BY host, g) GROUP BY host")
 def failure_streak(spark, sf_dir):
-    bad = (col("status") >= 400).alias("bad")
-    log = _log(spark, sf_dir).select("host", "event_id", bad)
-    g = F.row_number().over(Window.partitionBy("host").orderBy("event_id")) - F.row_number().over(Window.partitionBy("host", "bad").orderBy("event_id"))
-    return log.withColumn("g", g).where("bad").groupBy("host", "g").agg(F.count("*").alias("n")).groupBy("host").agg(F.max("n").alias("longest"))
+    return frontier.longest_streak(_log(spark, sf_dir), "host", "event_id", col("status") >= 400)
 
 
 @query(f"SELECT host, event_id, ms FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ms DESC, event_id) AS r FROM {LOG}) WHERE r <= 3")
 def topk_per_host(spark, sf_dir):
-    w = Window.partitionBy("host").orderBy(F.desc("ms"), "event_id")
-    return _log(spark, sf_dir).withColumn("r", F.row_number().over(w)).where("r <= 3").select("host", "event_id", "ms")
+    return frontier.top_of_each(_log(spark, sf_dir), "host", 3, F.desc("ms"), "event_id").select("host", "event_id", "ms")
 
 
 @query("SELECT 'customer' AS kind, c_custkey AS id, c_name AS name, NULL::INT AS size FROM customer UNION ALL SELECT 'part', p_partkey, p_name, p_size FROM part")
@@ -358,17 +357,16 @@ def link_degree(spark, sf_dir):
     return _links(spark, sf_dir).groupBy(urls.host("url").alias("host")).agg(F.count("*").alias("links"), F.count_distinct("href").alias("targets"))
 
 
-@query("SELECT 'https://x/list?page=' || i AS url FROM range(1, 11) t(i)")
+@query("SELECT page_id, 'https://x.test/list?page=' || (page_id + 2) || '&from=' || (page_id + 1) * 20 AS next FROM pages")
 def pagination_template(spark, sf_dir):
-    n = F.explode(F.sequence(lit(1), lit(10)))
-    return spark.range(1).select(n.alias("i")).select(F.replace(lit("https://x/list?page={page}"), lit("{page}"), col("i").cast("string")).alias("url"))
+    """Each page as the listing page of its number, and the one after it."""
+    to = Counting(template="https://x.test/list?page={page}&from={offset}", page_size=20)
+    return table(spark, sf_dir, "pages").select("page_id", to.after("url", (col("page_id") + 1).cast("int")).alias("next"))
 
 
-@query(r"SELECT page_id, regexp_replace(url, '([?&]page=)\d+', '\1' || (regexp_extract(url, '[?&]page=(\d+)', 1)::INT + 1)) AS next FROM pages WHERE regexp_matches(url, '[?&]page=\d+')")
+@query(r"SELECT page_id, CASE WHEN regexp_matches(url, '[?&]page=') THEN CASE WHEN regexp_matches(url, '[?&]page=\d+(&|$|#)') THEN regexp_replace(url, '([?&])page=\d+', '\1page=' || (regexp_extract(url, '[?&]page=(\d+)', 1)::INT + 1)) END ELSE split_part(url, '#', 1) || CASE WHEN contains(split_part(url, '#', 1), '?') THEN '&' ELSE '?' END || 'page=2' || regexp_extract(url, '#.*$') END AS next FROM pages")
 def pagination_param(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").where(col("url").rlike(r"[?&]page=\d+"))
-    n = (F.regexp_extract("url", r"[?&]page=(\d+)", 1).cast("int") + 1).cast("string")
-    return p.select("page_id", F.regexp_replace("url", lit(r"([?&]page=)\d+"), F.concat(lit("$1"), n)).alias("next"))
+    return table(spark, sf_dir, "pages").select("page_id", Counting(param="page").after("url", lit(1)).alias("next"))
 
 
 @query(f"WITH {CANON}, f AS (SELECT min(page_id) AS page_id FROM c GROUP BY canonical), n AS (SELECT page_id, count(*) AS n_links FROM {LINKS} GROUP BY page_id) "
@@ -391,7 +389,7 @@ def cache_hits(spark, sf_dir):
     return hits.select("page_id")
 
 
-@query("SELECT url, md5(html) AS sha FROM pages WHERE page_id < 10")
+@query("SELECT url, md5(html) AS sha FROM pages")
 def seed_list(spark, sf_dir):
     """Seeds as rows, joined to the pages by their canonical address; of several such pages, the one of the very address."""
     p = table(spark, sf_dir, "pages").select("page_id", "url", urls.canonical("url").alias("key"), F.md5("html").alias("sha"))

@@ -5,15 +5,13 @@ The test pages have no structured data, so those queries build HTML from other t
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from pagelake.functions import urls
 from pagelake.operators import inspect
 from pagelake.operators.extract import extract, read_pages
 from pagelake.operators.links import Crawl, Follow, crawl
-from pagelake.session import ship, table
+from pagelake.session import scratch, shared_dir, ship, spread, table
 from pagelake.sources import sinks
 from pagelake.streaming import streams
 
@@ -34,7 +32,7 @@ def query(sql: str | None = None):
 
 def parts(spark, sf_dir):
     """A product page per part; every third one has no price."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"))
     price = F.when(col("p_partkey") % 3 != 0, F.concat(lit("<span class=price>$"), F.format_number("p_retailprice", 2), lit("</span>"))).otherwise(lit(""))
     html = F.concat(
         lit("<title>Part "), col("p_partkey"), lit("</title><meta property='og:title' content='OG "), col("p_partkey"), lit("'><link rel=canonical href='/part/"), col("p_partkey"), lit("?x=1'><script type='application/ld+json'>{\"@graph\":[{\"@type\":\"Product\",\"sku\":\"S-"), col("p_partkey"), lit("\",\"offers\":[{\"price\":"), col("p_size"),
@@ -50,28 +48,28 @@ def records(spark, sf_dir, fields, container="div.card"):
 
 @query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages""")
 def page_title(spark, sf_dir):
-    return read_pages(table(spark, sf_dir, "pages"), "title").select("page_id", "title")
+    return read_pages(spread(table(spark, sf_dir, "pages")), "title").select("page_id", "title")
 
 
 @query("""SELECT DISTINCT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || href AS link FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM pages)""")
 def page_links(spark, sf_dir):
-    p = read_pages(table(spark, sf_dir, "pages"), "links")
+    p = read_pages(spread(table(spark, sf_dir, "pages")), "links")
     return p.select("page_id", F.explode("links").alias("l")).select("page_id", col("l.url").alias("link"))
 
 
 @query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(unnest(regexp_extract_all(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)), '<[^>]*>', '', 'g'), '&amp;', '&'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '\s+', ' ', 'g')) AS heading FROM pages""")
 def page_headings(spark, sf_dir):
-    return extract(table(spark, sf_dir, "pages"), {"container": "h1", "fields": {"heading": {"selector": ".", "transform": "collapse"}}}, keep=("page_id",)).select("page_id", "heading")
+    return extract(spread(table(spark, sf_dir, "pages")), {"container": "h1", "fields": {"heading": {"selector": ".", "transform": "collapse"}}}, keep=("page_id",)).select("page_id", "heading")
 
 
 @query()
 def page_text(spark, sf_dir):
-    return read_pages(table(spark, sf_dir, "pages"), "text").select("page_id", F.length("text").alias("n"), F.sha1("text").alias("sha"))
+    return read_pages(spread(table(spark, sf_dir, "pages")), "text").select("page_id", F.length("text").alias("n"), F.sha1("text").alias("sha"))
 
 
 @query("SELECT page_id, len(regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?i)<p[ >]'))::DOUBLE AS n FROM pages")
 def xpath_count(spark, sf_dir):
-    return extract(table(spark, sf_dir, "pages"), {"fields": {"n": {"xpath": "count(//p)", "type": "number"}}}, keep=("page_id",)).select("page_id", "n")
+    return extract(spread(table(spark, sf_dir, "pages")), {"fields": {"n": {"xpath": "count(//p)", "type": "number"}}}, keep=("page_id",)).select("page_id", "n")
 
 
 @query("SELECT p_partkey, p_partkey::VARCHAR AS id, p_name AS name, CASE WHEN p_partkey % 3 <> 0 THEN round(p_retailprice, 2)::DOUBLE END AS price, 'https://shop.test/a/buy?id=' || p_partkey AS buy, [p_brand, p_type] AS tags FROM part")
@@ -142,7 +140,7 @@ def required_issue(spark, sf_dir):
 
 @query()
 def analyze_page(spark, sf_dir):
-    return inspect.analyze(table(spark, sf_dir, "pages")).select("page_id", "analysis.n_links", "analysis.internal", "analysis.blocks")
+    return inspect.analyze(spread(table(spark, sf_dir, "pages"))).select("page_id", "analysis.n_links", "analysis.internal", "analysis.blocks")
 
 
 @query("WITH RECURSIVE r AS (SELECT 1 AS k, 0 AS depth UNION ALL SELECT k * 2 + d, depth + 1 FROM r, (VALUES (0), (1)) t(d) WHERE depth < 3) SELECT 'https://shop.test/n/' || k AS url, depth::INTEGER AS depth FROM r")
@@ -157,13 +155,7 @@ def crawl_reach(spark, sf_dir):
 
 
 def _checkpoints(spark):
-    """The shared folder for checkpoint(): the session's own, or one of ours on a local master."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="pagelake-crawl-"))
+    shared_dir(spark)
     ship(spark)
 
 
@@ -185,7 +177,9 @@ def stream_tumbling(spark, sf_dir):
     return streams.drain(w.select("event_type", F.unix_millis("w.start").alias("start"), "n", "users"), "complete")
 
 
-@query()
+@query("""WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS o FROM events),
+b AS (SELECT user_id, ts, sum(o) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a)
+SELECT user_id, epoch_us(min(ts)) // 1000 AS start, count(*) AS n FROM b GROUP BY user_id, s""")
 def stream_session(spark, sf_dir):
     s = _stream(spark, sf_dir).withWatermark("ts", "40 days").groupBy(F.session_window("ts", "6 hours"), "user_id").agg(F.count("*").alias("n"))
     return streams.drain(s.select("user_id", F.unix_millis("session_window.start").alias("start"), "n"), "complete")
@@ -203,7 +197,7 @@ def stream_breaker(spark, sf_dir):
 
 @query("SELECT page_id, url FROM pages")
 def sink_roundtrip_ndjson(spark, sf_dir):
-    to = tempfile.mkdtemp(prefix="pagelake-sink-") + "/x.ndjson"
+    to = scratch(spark, "sink") + ".ndjson"
     sinks.write_ndjson(table(spark, sf_dir, "pages").select("page_id", "url"), to)
     return spark.read.schema("page_id long, url string").json(to)
 

@@ -1,8 +1,8 @@
-"""The registered queries of the library and their DuckDB SQL."""
+"""All registered queries but those of training data, which `__spark_entry__.py` adds."""
 
 from __future__ import annotations
 
-from pagelake.plans import native, web
+from pagelake.plans import more, native, web
 
-QUERIES: dict = native.QUERIES | web.QUERIES
-ORACLE: dict = native.ORACLE | web.ORACLE
+QUERIES = native.QUERIES | web.QUERIES | more.QUERIES
+ORACLE = native.ORACLE | web.ORACLE | more.ORACLE
