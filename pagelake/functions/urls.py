@@ -28,27 +28,36 @@ def host(u) -> Column:
     return F.when(is_web(u), F.lower(_part(F.trim(col(u)), 2)))
 
 
+def _named(u, make) -> Column:
+    """make(scheme, host, port, path, query) of a web URL, null of another text. The parts are taken once and named, so an
+    expression may use them as often as it likes."""
+    parts = F.regexp_replace(F.trim(col(u)), "(?s)" + PARTS + ".*$", "$1\x01$2\x01$3\x01$4\x01$5")
+    return F.transform(F.array(F.split(parts, "\x01")), lambda p: F.when(F.size(p) == 5, make(*[F.get(p, F.lit(i)) for i in range(5)])))[0]
+
+
+def _base(scheme: Column, host: Column, port: Column) -> Column:
+    """scheme://host, with the port where it isn't the usual one."""
+    whole = F.concat(F.lower(scheme), F.lit("://"), F.lower(host), F.lit(":"), port)
+    return F.regexp_replace(whole, r"^(http://[^:]*):(?:80)?$|^(https://[^:]*):(?:443)?$", "$1$2")
+
+
 def origin(u) -> Column:
-    v = F.trim(col(u))
-    scheme, port = F.lower(_part(v, 1)), _part(v, 3)
-    plain = (port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
-    return F.when(is_web(u), F.concat(scheme, F.lit("://"), F.lower(_part(v, 2)), F.when(plain, "").otherwise(F.concat(F.lit(":"), port))))
+    return _named(u, lambda scheme, host, port, path, query: _base(scheme, host, port))
 
 
 def canonical(u, strip_www: bool = False, lowercase_path: bool = False, strip_params=(), keep_params=()) -> Column:
     """One spelling of a web URL: no fragment, default port, tracking parameter, doubled or trailing slash; sorted query."""
-    v = F.trim(col(u))
-    path = F.regexp_replace(F.when(_part(v, 4) == "", "/").otherwise(_part(v, 4)), "/{2,}", "/")
-    path = F.when(path == "/", path).otherwise(F.regexp_replace(path, "/+$", ""))
-    if lowercase_path:
-        path = F.lower(path)
     drop = sorted((TRACKING | set(strip_params)) - set(keep_params))
     key = lambda p: F.lower(F.substring_index(p, "=", 1))
-    query = F.array_join(F.array_sort(F.filter(F.split(_part(v, 5), "&"), lambda p: (p != "") & ~key(p).isin(drop))), "&")
-    base = origin(u)
-    if strip_www:
-        base = F.regexp_replace(base, "://www\\.", "://")
-    return F.when(is_web(u), F.concat(base, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query))))
+
+    def make(scheme, host, port, path, query):
+        path = F.regexp_replace(F.regexp_replace(F.regexp_replace(path, "/{2,}", "/"), "(?<!^)/$", ""), "^$", "/")
+        query = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~key(p).isin(drop))), "&")
+        base = _base(scheme, host, port)
+        base = F.regexp_replace(base, r"://www\.", "://") if strip_www else base
+        return F.concat(base, F.lower(path) if lowercase_path else path, F.regexp_replace(F.concat(F.lit("?"), query), r"^\?$", ""))
+
+    return _named(u, make)
 
 
 def path_depth(u) -> Column:

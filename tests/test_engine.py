@@ -81,7 +81,7 @@ def test_bloom_has_no_false_negatives(spark):
 @pytest.fixture(scope="module")
 def site(spark):
     rows = []
-    names = [("Alpha Widget", "$10.50"), ("Beta Gadget", "$25.00"), ("Gamma Doohickey", "$5.25"), ("Delta Thing", "$99.99"), ("Epsilon Item", "$1.00"), ("Zeta Object", "$42.00")]
+    names = [("Oak Shelf", "$10.50"), ("Pine Desk", "$25.00"), ("Elm Stool", "$5.25"), ("Ash Table", "$99.99"), ("Fir Bench", "$1.00"), ("Yew Frame", "$42.00")]
     for p in (1, 2, 3):
         cards = "".join(f"<div class=card><h2><a href='/product/{i}?utm_source=l'>{names[i - 1][0]}</a></h2><span class=price>{names[i - 1][1]}</span></div>" for i in (2 * p - 1, 2 * p))
         rows.append((f"https://s.t/list?page={p}", cards + (f"<a class=next href='/list?page={p + 1}'>next</a>" if p < 3 else "<span class='next disabled'>next</span>")))
@@ -97,9 +97,9 @@ def test_listing_and_details(spark, site, tmp_path):
     }
     r = R.run(spec, site)
     assert r.reached.where("status = 200").count() == 9
-    assert sorted(x.name for x in r.items.collect()) == ["Alpha Widget", "Beta Gadget", "Epsilon Item", "Gamma Doohickey", "Zeta Object"]
+    assert sorted(x.name for x in r.items.collect()) == ["Elm Stool", "Fir Bench", "Oak Shelf", "Pine Desk", "Yew Frame"]
     (bad,) = r.quarantined.collect()
-    assert bad.name == "Delta Thing" and bad._issues[0].rule == "max"
+    assert bad.name == "Ash Table" and bad._issues[0].rule == "max"
     assert {x.field: x.fill_rate for x in r.health().collect()} == {"name": 100.0, "price": 100.0}
 
 
