@@ -2,40 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.session import ship, table
+from pagelake.session import scratch, shared_dir, ship, table  # noqa: F401
 
 #: The ASCII white space that parts words, as a regex class and as its characters.
 WS_CLASS = "[\\x20\\x09-\\x0D]"
 WS_CHARS = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir. Unset, a local master gets a folder of its own."""
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = getattr(sc, "_pagelake_dir", None)
-        if not path:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            path = sc._pagelake_dir = "file://" + tempfile.mkdtemp(prefix="pagelake-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(path)
-    return path
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/pagelake/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: later steps need no more of its lineage."""
     spark = df.sparkSession

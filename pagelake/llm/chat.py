@@ -48,10 +48,12 @@ def unescaped_role(role: str) -> str:
 def paths(messages: DataFrame, best: int | None = None) -> DataFrame:
     """(leaf, node, depth, branch): the members of every root-to-leaf path, depth from 0 at the root.
 
-    messages: node (unique string), parent (or null), tree, score. branch ranks the leaves of a tree by the sum of the
+    messages: node (unique string), parent (or null), tree, score (finite; 12 decimals count). branch ranks the leaves of a tree by the sum of the
     scores on their path, best first, ties by leaf; `best` keeps so many branches of each tree.
     """
-    m = messages.select("node", "parent", "tree", F.coalesce("score", F.lit(0.0)).alias("score")).checkpoint()
+    # sums of decimals don't depend on their order, so ties stay ties whatever is retried
+    score = F.coalesce(F.col("score").cast("decimal(38,12)"), F.lit(0).cast("decimal(38,12)"))
+    m = messages.select("node", "parent", "tree", score.alias("score")).checkpoint()
     known = m.select(F.col("node").alias("parent"))
     jump = m.where("parent is not null").join(known, "parent", "left_semi").select("node", F.col("parent").alias("up")).checkpoint()
     parents = jump.select(F.col("up").alias("node")).distinct()

@@ -5,16 +5,16 @@
    have equal minimizers, so a minimizer that only one class has needs no search. Consecutive windows of one minimizer
    form a segment.
 3. Segments of the other minimizers are shuffled by minimizer. A shard is a bounded number of words of whole minimizers;
-   its distinct segments go into a compressed FM-index (the Burrows-Wheeler transform in a wavelet matrix), and the
-   windows of all of them are searched backwards at once. A window with one occurrence left is unique and drops out; the
-   matching statistics that reach `width` give an interval of occurrences and the smallest doc_id in it.
+   its distinct segments go into a compressed FM-index (the Burrows-Wheeler transform in a wavelet matrix, and every
+   eighth place of the suffix array), and the segments are searched backwards against it, all at once: from each word
+   leftwards, as long as the match has a second occurrence. Where these matching statistics reach `width`, the interval's
+   occurrences are located and the smallest doc_id among them is reported; intervals of neighbours are joined.
 4. A minimizer that more than `hot` classes have is not held: its windows go one by one to the shard of their own hash,
    sorted, where the first row of equal windows is the smallest doc_id and the others stream past it.
 
-The transform is sorted by the first 16 words only, which is exact for patterns of up to 16 words.
-
 Null or blank text: no words. Fewer words than a window: nothing is removed. Rows that repeat a doc_id aren't smaller than
-each other. A null doc_id counts as larger than any other.
+each other. A null doc_id counts as larger than any other. Any window width works. An empty table gives an empty result, a
+very long text is cut into segments of bounded length, and columns other than doc_id and text may have any name.
 """
 
 from __future__ import annotations
@@ -90,19 +90,54 @@ class WaveletMatrix:
         """Occurrences of c before i."""
         return self._map(c, i) - self.first[c]
 
+    def symbol(self, i: np.ndarray) -> np.ndarray:
+        """The symbols at i."""
+        c = np.zeros(len(i), np.int64)
+        for level, words, counts, zeros in self.levels:
+            at, b = i >> 6, (i & 63).astype(np.uint64)
+            bit = (words[at] >> b & np.uint64(1)).astype(np.int64)
+            ones = counts[at] + np.bitwise_count(words[at] & ((np.uint64(1) << b) - np.uint64(1)))
+            c |= bit << level
+            i = np.where(bit, zeros + ones, i - ones)
+        return c
+
 
 class FmIndex:
-    """An FM-index of integer symbols, 0 being the separator; right for patterns of up to `depth` symbols."""
-
-    def __init__(self, text: np.ndarray, symbols: int, depth: int = 16):
-        r, step = text.astype(np.int64), 1
-        while step < depth:  # ranks of the first 1, 2, 4, ... symbols
-            key = r * (int(r.max()) + 2) + np.r_[r[step:] + 1, np.zeros(min(step, len(r)), np.int64)]
+    """A compressed index of integer symbols, each segment of which ends in the separator 0: the Burrows-Wheeler transform
+    in a wavelet matrix, and a sample of the suffix array. Suffixes are sorted to the end of their segment."""
+
+    def __init__(self, text: np.ndarray, symbols: int, every: int = 8):
+        n, ends = len(text), text == 0
+        r = text.astype(np.int64)
+        r[ends] = np.arange(ends.sum())  # separators differ, so no comparison passes one
+        r[~ends] += ends.sum()
+        step = 1
+        while True:  # ranks of the first 2, 4, 8, ... symbols
+            key = r * (int(r.max()) + 2) + np.r_[r[step:] + 1, np.zeros(min(step, n), np.int64)]
             r = np.unique(key, return_inverse=True)[1]
+            if int(r.max()) + 1 == n:
+                break
             step *= 2
-        self.places = np.argsort(r, kind="stable")
+        places = np.empty(n, np.int64)
+        places[r] = np.arange(n)
         self.before = np.r_[0, np.cumsum(np.bincount(text, minlength=symbols))]
-        self.bwt = WaveletMatrix(text[self.places - 1].astype(np.int64), symbols)
+        last = text[places - 1].astype(np.int64)
+        self.bwt = WaveletMatrix(last, symbols)
+        kept = (places % every == 0) | (last == 0)  # a walk back stops at the start of a segment at the latest
+        self.kept, self.upto = kept, np.cumsum(kept, dtype=np.int32)
+        self.sample = places[kept].astype(np.int32)
+
+    def locate(self, rows: np.ndarray) -> np.ndarray:
+        """The places in the text of suffixes: walks back to the nearest one that is in the sample."""
+        out, live, walked = np.empty(len(rows), np.int64), np.arange(len(rows)), 0
+        while len(live):
+            hit = self.kept[rows]
+            out[live[hit]] = self.sample[self.upto[rows[hit]] - 1] + walked
+            live, rows, walked = live[~hit], rows[~hit], walked + 1
+            if len(live):
+                c = self.bwt.symbol(rows)
+                rows = self.before[c] + self.bwt.rank(c, rows)
+        return out
 
     def step(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of cP from those of P."""
@@ -138,9 +173,13 @@ def least_owner(segments: list[bytes], owner: np.ndarray, width: int = WIDTH) ->
     on = hi - lo > 1
     live, lo, hi = live[on], lo[on], hi[on]
     if len(live):
-        pairs, back = np.unique(np.stack([lo, hi]), axis=1, return_inverse=True)
-        of = np.r_[np.repeat(owner, sizes + 1)[index.places], TOP]
-        least[live] = np.minimum.reduceat(of, pairs.T.ravel())[::2][back.ravel()]
+        # equal windows have one interval, different ones have none in common
+        lo, one, back = np.unique(lo, return_index=True, return_inverse=True)
+        n = hi[one] - lo
+        ends = np.cumsum(n)
+        rows = np.arange(ends[-1]) + np.repeat(lo - (ends - n), n)
+        of = np.repeat(owner, sizes + 1)[index.locate(rows)]
+        least[live] = np.minimum.reduceat(of, ends - n)[back]
     return least, first
 
 

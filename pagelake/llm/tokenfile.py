@@ -3,7 +3,8 @@
 A file holds the ids of consecutive documents as little-endian unsigned 32-bit integers. A frame holds whole documents
 (or one part of a document longer than a frame) and is compressed on its own. After the frames come the entries of the
 seek table (compressed and plain size, CRC-32 of the plain bytes, first document), the documents' entries (doc_id and
-ids), and a footer of fixed size that says where they begin. A reader loads the tables, then only the frames it needs.
+ids), and a footer of fixed size that says where they begin, all in a skippable frame: to any zstandard tool the file is
+the ids. A reader loads the tables, then only the frames it needs; a document is found by bisection.
 
 Documents are range-sorted by doc_id, so file k holds smaller ids than file k + 1; a document's start is the ids of the
 files before (one number per file) plus its place in the file. Null text: only the end id. Null doc_id: such documents
@@ -29,6 +30,7 @@ from pagelake.llm.wordbpe import word_bpe
 
 FRAME = 1 << 16  # ids
 FOOTER = struct.Struct("<QQQI8s")
+SKIPPED = struct.Struct("<II")  # the magic number of a skippable frame, and its size
 MAGIC = b"PLTOKEN1"
 SEEK = np.dtype([("at", "<u8"), ("size", "<u4"), ("plain", "<u4"), ("crc", "<u4"), ("first", "<u8")])
 DOCS = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("start", "<u8"), ("n", "<u8")])
@@ -69,8 +71,9 @@ class Writer:
     def close(self) -> int:
         self.flush()
         tables = np.array(self.seek, dtype=SEEK).tobytes() + np.array(self.docs, dtype=DOCS).tobytes()
+        self.out.write(SKIPPED.pack(0x184D2A5E, len(tables) + FOOTER.size))
         self.out.write(tables)
-        self.out.write(FOOTER.pack(self.at, len(self.seek), len(self.docs), zlib.crc32(tables), MAGIC))
+        self.out.write(FOOTER.pack(self.at + SKIPPED.size, len(self.seek), len(self.docs), zlib.crc32(tables), MAGIC))
         self.out.close()
         return self.ids
 
@@ -116,8 +119,11 @@ class Reader:
             at, n, k = at + len(ids), n - len(ids), k + 1
 
     def find(self, doc_id: int) -> list[int]:
-        """Places of a document."""
-        return np.flatnonzero((self.docs["doc_id"] == doc_id) & (self.docs["known"] == 1)).tolist()
+        """Places of a document; the file has unknown ids first, then the others in ascending order."""
+        first = int(np.searchsorted(self.docs["known"], 1))
+        ids = self.docs["doc_id"][first:]
+        lo, hi = np.searchsorted(ids, doc_id, side="left"), np.searchsorted(ids, doc_id, side="right")
+        return list(range(first + int(lo), first + int(hi)))
 
 
 def write_tokens(docs: DataFrame, to: str, path: str | None = None, end_id: int = 2, frame: int = FRAME) -> DataFrame:

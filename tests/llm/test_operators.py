@@ -558,6 +558,7 @@ def test_fm_index_counts_every_pattern():
                 lo, hi = index.step(np.array([c]), lo, hi)
             want = sum(np.array_equal(text[i : i + n], p) for i in range(len(text) - n + 1))
             assert hi[0] - lo[0] == want
+            assert sorted(index.locate(np.arange(lo[0], hi[0])).tolist()) == [i for i in range(len(text) - n + 1) if np.array_equal(text[i : i + n], p)]
 
 
 @pytest.mark.parametrize("name", ["op2_quality_rules", "op6_top_k", "op7_chat", "op8_substring", "op10_warc"])
@@ -579,3 +580,25 @@ def test_sql_agrees_on_awkward_rows(spark, sf, tmp_path, name):
     columns = sorted(found.columns)
     want = con.sql(f"SELECT {', '.join(columns)} FROM ({q.ORACLE[name]})").fetchall()
     assert Counter(tuple(x[c] for c in columns) for x in rows(found)) == Counter(want)
+
+
+def test_token_file_is_standard_zstandard_and_finds_by_bisection(tmp_path):
+    import io
+
+    import zstandard
+    from pyarrow import fs
+
+    from pagelake.llm.tokenfile import Reader, Writer
+
+    local, name = fs.LocalFileSystem(), str(tmp_path / "t.bin")
+    w = Writer(local.open_output_stream(name, compression=None), frame=10)
+    ids = [None, None, 3, 3, 7, 9]
+    for k, i in enumerate(ids):
+        w.add(i, np.arange(k * 5, dtype="<u4"))
+    w.close()
+    plain = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(open(name, "rb").read()), read_across_frames=True).read()
+    assert np.frombuffer(plain, "<u4").tolist() == [x for k in range(len(ids)) for x in range(k * 5)]
+    with local.open_input_file(name) as f:
+        r = Reader(f)
+        assert [r.find(i) for i in (3, 7, 9, 0, 4, 10)] == [[2, 3], [4], [5], [], [], []]
+        assert np.concatenate(list(r.parts(5))).tolist() == list(range(25))
