@@ -32,7 +32,7 @@ def _bytes_of() -> dict[str, int]:
 
 
 class WordBpe:
-    def __init__(self, path: str, memo: int = 100_000):
+    def __init__(self, path: str, memo: int = 150_000):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -76,7 +76,6 @@ class WordBpe:
             self.ids.append(t["id"])
         self.odd = {k: self._ranks(v) for k, v in self.odd.items()}
         self.table = np.array(self.ids, dtype=np.uint16)
-        self.pieces = Recent(self._piece, memo)
         self.plain = Recent(self._plain, memo)
         self.chunks = Recent(self._chunk, 20_000)
 
@@ -88,10 +87,13 @@ class WordBpe:
         return self.odd.get(key) or array("H", self.merge(key + END)).tobytes()
 
     def _plain(self, chunk: str) -> bytes:
-        """A lower-cased chunk of plain characters."""
+        """A lower-cased chunk of plain characters; its pieces are chunks of their own, in the same memo."""
         if chunk.isalpha():
-            return self.pieces[chunk]
-        return b"".join([self.pieces[p] for p in PIECES.findall(chunk)])
+            return self._piece(chunk)
+        pieces = PIECES.findall(chunk)
+        if len(pieces) == 1:
+            return self._piece(pieces[0])
+        return b"".join(map(self.plain.__getitem__, pieces))
 
     @staticmethod
     def _lower(text: str) -> str:
