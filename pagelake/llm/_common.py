@@ -47,6 +47,11 @@ def passing(rows: DataFrame, column: str, keys: DataFrame, bits: int = 26) -> tu
     return marked.where("_hit").drop("_hit"), marked.where("not _hit").drop("_hit")
 
 
+def lean() -> None:
+    """In a Python worker: Arrow's batches go back to the system when they are done, not to a pool that keeps them."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def raw(column: pa.Array) -> list[bytes]:
     """A string column as bytes, without decoding."""
     return column.cast(pa.large_binary()).to_pylist()
