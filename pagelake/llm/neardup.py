@@ -11,7 +11,9 @@ radius for sets so small that their bits are coarse); the others are verified by
 Every class of a shard first meets the shard's least class: a native aggregation and a join that AQE can split where a
 shard is hot, so a crowd of near copies costs one pair each. What no verified link has joined by then is searched with
 one BK-tree of fingerprints for each shard, whose children are keyed by their Hamming distance, for pairs of different
-components within the radius. A shard of more than `hot` such classes is cut again by the classes' other 31 bands.
+components within the radius. A shard of more than `hot` such classes is cut into blocks instead, every two of which meet
+unless the sizes of their sets or their roots leave no pair: the same pairs, whatever `hot` is, at a cost that grows with
+the square of what such a shard holds.
 
 Words are parted by ASCII white space, and ASCII letters are folded to lower case. Fewer words than a shingle: the whole
 sequence is the one shingle. Null, empty and blank texts are alike. Only doc_id and text are read: other columns may have
@@ -21,6 +23,7 @@ any name. An empty table has no classes. A long text is hashed in slices.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -167,35 +170,88 @@ def _close(m: str, n: str) -> Column:
     return F.least(m, n) * UNDER >= F.greatest(m, n) * OVER
 
 
-def tree_pairs(apart: DataFrame, met: DataFrame, hot: int) -> DataFrame:
-    """Pairs (a, b), a < b, of classes of one shard but different roots, within the radius: a BK-tree for each shard."""
+def _emitted(found: Iterator[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Pairs as batches of bounded size."""
+    while out := list(islice(found, 1 << 16)):
+        a, b = zip(*out)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns))
+
+
+def tree_pairs(apart: DataFrame, hot: int) -> DataFrame:
+    """Pairs (a, b), a < b, of classes of one shard but different roots, within the radius, whatever `hot` is: a BK-tree
+    for each shard, blocks that meet for one of more than `hot` classes."""
+
+    def searched(rows: Iterator[tuple]) -> Iterator[tuple[bytes, bytes]]:
         shard, tree, at = None, BkTree(), {}
-        for batch in batches:
-            out = []
-            for s, key, n, fp, root in zip(*(c.to_pylist() for c in batch.columns)):
-                if s != shard:
-                    shard, tree, at = s, BkTree(), {}
-                fp = int.from_bytes(fp)
-                for y in tree.within(fp, WIDE if n < 2 * SMALL else RADIUS):
-                    d = (y ^ fp).bit_count()
-                    out += [(o, key) for o, m, r in at[y] if r != root and UNDER * min(m, n) >= OVER * max(m, n) and (d <= RADIUS or min(m, n) < SMALL)]
-                if fp in at:
-                    at[fp].append((key, n, root))
-                else:
-                    at[fp] = [(key, n, root)]
-                    tree.insert(fp)
-            a, b = zip(*out) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-    sizes = apart.groupBy("band").agg(F.count("*").alias("c")).where(F.col("c") > hot)
-    small = apart.join(sizes, "band", "left_anti").withColumn("shard", F.col("band"))
-    large = apart.join(sizes.select("band"), "band").join(met.select("key", F.col("band").alias("other")), "key").where("other <> band")
-    rows = small.unionByName(large.withColumn("shard", F.xxhash64("band", "other")).drop("other"))
+        for s, key, n, fp, root in rows:
+            if s != shard:
+                shard, tree, at = s, BkTree(), {}
+            fp = int.from_bytes(fp)
+            for y in tree.within(fp, WIDE if n < 2 * SMALL else RADIUS):
+                d = (y ^ fp).bit_count()
+                yield from ((o, key) for o, m, r in at[y] if r != root and UNDER * min(m, n) >= OVER * max(m, n) and (d <= RADIUS or min(m, n) < SMALL))
+            if fp in at:
+                at[fp].append((key, n, root))
+            else:
+                at[fp] = [(key, n, root)]
+                tree.insert(fp)
+
+    sizes = stored(apart.groupBy("band").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("band"), "neardup-hot")
+    small = apart.join(sizes, "band", "left_anti").select("band", "key", "n", "fp", "root")
     n = int(apart.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = rows.select("shard", "key", "n", "fp", "root").repartition(n, "shard").sortWithinPartitions("shard", "key")
-    return sorted_.mapInArrow(search, "a binary, b binary").distinct()
+    sorted_ = small.repartition(n, "band").sortWithinPartitions("band", "key")
+    trees = sorted_.mapInArrow(lambda batches: _emitted(searched(_rows(batches))), "a binary, b binary")
+    return trees.unionByName(block_pairs(apart.join(sizes, "band"), hot)).distinct()
+
+
+def block_pairs(large: DataFrame, size: int) -> DataFrame:
+    """The pairs of `tree_pairs` in hot shards. A shard's classes are cut by the size of their sets, where only neighbours
+    can be alike, by whether they have the shard's most frequent root, whose classes needn't meet each other, and by key
+    into blocks of about `size`. Every two blocks that can hold a pair meet in a cell, so none is lost; a task holds one
+    block and streams the other past it."""
+
+    def searched(rows: Iterator[tuple]) -> Iterator[tuple[bytes, bytes]]:
+        cell, held, block = None, [], None
+        for band, lo, hi, side, n, key, fp, root in rows:
+            if (band, lo, hi) != cell:
+                cell, held, block = (band, lo, hi), [], None
+            if side == 0:
+                held.append((key, n, fp, root))
+                continue
+            if block is None:
+                keys, ns, fps, roots = zip(*held) if held else ((),) * 4
+                block = keys, np.array(ns, np.int64), np.frombuffer(b"".join(fps), np.uint64).reshape(-1, LONGS), np.frombuffer(b"".join(roots), np.uint64).reshape(-1, 2)
+                held = []
+            keys, ns, fps, roots = block
+            first = np.searchsorted(ns, -(-n * OVER // UNDER))
+            last = np.searchsorted(ns, n if lo == hi else n * UNDER // OVER, "right")  # of a block with itself, the larger set looks for the smaller
+            for i in range(first, last, 2048):  # in slices that stay in the cache
+                k = slice(i, min(i + 2048, last))
+                d = np.bitwise_count(fps[k] ^ np.frombuffer(fp, np.uint64)).sum(axis=1, dtype=np.uint16)
+                ok = (d <= np.where(np.minimum(ns[k], n) < SMALL, WIDE, RADIUS)) & (roots[k] != np.frombuffer(root, np.uint64)).any(axis=1)
+                yield from ((min(keys[j], key), max(keys[j], key)) for j in (i + np.flatnonzero(ok)).tolist())
+
+    crowd = large.groupBy("band", "root").agg(F.count("*").alias("c")).groupBy("band").agg(F.max(F.struct("c", "root"))["root"].alias("most"))
+    # steps of over a fourth: sets that can be alike are at most one apart; then one bit for the crowd
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.26))) * 2 + (F.col("root") == F.col("most")).cast("long")
+    rows = large.join(crowd, "band").withColumn("kind", step).drop("most")
+    parts = rows.groupBy("band", "kind").agg(F.ceil(F.count("*") / size).alias("parts"))
+    ours = F.pmod(F.xxhash64("key"), F.col("parts"))
+    rows = rows.join(parts, ["band", "kind"]).withColumn("mine", F.shiftleft("kind", 32) + ours).drop("parts")
+    other = parts.select("band", F.col("kind").alias("other"), "parts")
+    near = (F.abs(F.shiftright("kind", 1) - F.shiftright("other", 1)) <= 1) & (F.col("kind").bitwiseAND(F.col("other")).bitwiseAND(1) == 0)
+    cells = rows.join(other, "band").where(near).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    cells = cells.withColumn("theirs", F.shiftleft("other", 32) + F.col("part"))
+    sides = F.when(F.col("mine") == F.col("theirs"), F.array(F.lit(0), F.lit(1))).otherwise(F.array((F.col("mine") > F.col("theirs")).cast("int")))
+    cells = cells.select("band", F.least("mine", "theirs").alias("lo"), F.greatest("mine", "theirs").alias("hi"), F.explode(sides).alias("side"), "n", "key", "fp", "root")
+    parts = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = cells.repartition(parts, "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "side", "n", "key")
+    return sorted_.mapInArrow(lambda batches: _emitted(searched(_rows(batches))), "a binary, b binary")
 
 
 def near_classes(docs: DataFrame, hot: int = POPULAR) -> DataFrame:
@@ -219,6 +275,6 @@ def near_classes(docs: DataFrame, hot: int = POPULAR) -> DataFrame:
     at = met.select("band", "key", "n", "fp").join(roots, met["key"] == roots["node"], "left").select("band", "key", "n", "fp", F.coalesce("root", "key").alias("root"))
     several = at.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
     apart = stored(at.join(several, "band", "left_semi"), "neardup-apart")
-    rest = stored(tree_pairs(apart, met, hot).join(first, ["a", "b"], "left_anti"), "neardup-rest")
+    rest = stored(tree_pairs(apart, hot).join(first, ["a", "b"], "left_anti"), "neardup-rest")
     found = edges.unionByName(verified(rest, held))
     return components(found).select(F.col("node").alias("key"), "root")

@@ -166,6 +166,46 @@ def test_near_classes_equal_brute_force(spark):
     assert all((found[i] == found[j]) == (find(i) == find(j)) for i, j in pairs)
 
 
+def test_near_classes_link_texts_that_share_one_hot_shard_alone(spark):
+    from hashlib import md5
+
+    from pagelake.llm.neardup import bands, near_classes, shingles
+
+    a = "w572 w834 w720 w132 w606 w595 w962 w756 w661 w143 w338 w827 w175"
+    b = a[:-3] + "96"
+    c = f"w129 w735 {a} w831 w994"  # the least class of that shard; too far from a and b to link them
+    of = lambda t: set(bands(shingles(t.encode())).tolist())
+    assert jaccard(a, b) == 0.8 and max(jaccard(a, c), jaccard(b, c)) < 0.8
+    assert len(of(a) & of(b)) == 1 and of(a) & of(b) <= of(c)
+    docs = spark.createDataFrame([(i, t, "en", None, len(t), 7, "clash") for i, t in enumerate((a, b, c))], DOCS)
+    want = {md5(t.encode()).digest() for t in (a, b)}
+    for hot in (20_000, 3, 2, 1):
+        assert {bytes(x.key): bytes(x.root) for x in near_classes(docs, hot=hot).collect()} == dict.fromkeys(want, min(want))
+
+
+def test_tree_pairs_are_the_pairs_within_the_radius_whatever_is_hot(spark):
+    from pagelake.llm.neardup import LONGS, RADIUS, SMALL, WIDE, tree_pairs
+
+    r = random.Random(24)
+    key = lambda: r.randbytes(16)
+    crowd, rows = key(), []
+    for band in (1, 2):
+        centre = r.getrandbits(64 * LONGS)
+        for i in range(70):
+            fp = centre
+            for k in r.sample(range(64 * LONGS), r.randrange(150)):
+                fp ^= 1 << k
+            mine = key()
+            rows.append((band, mine, r.choice([1, 4, 5, 7, 8, 9, 10, 12, 15, 16, 100, 125, 126]), fp, crowd if i % 3 == 0 else mine if i % 3 == 1 else bytes([i % 4]) * 16))
+    near = lambda m, n, d: 5 * min(m, n) >= 4 * max(m, n) and d <= (WIDE if min(m, n) < SMALL else RADIUS)
+    want = {(x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and x[4] != y[4] and near(x[2], y[2], (x[3] ^ y[3]).bit_count())}
+    assert len(want) > 300
+    apart = spark.createDataFrame([(b, k, n, fp.to_bytes(8 * LONGS), root) for b, k, n, fp, root in rows], "band long, key binary, n int, fp binary, root binary")
+    for hot in (1000, 69, 8, 1):
+        found = [(bytes(x.a), bytes(x.b)) for x in tree_pairs(apart, hot).collect()]
+        assert len(found) == len(want) and set(found) == want
+
+
 def test_near_dedup_goes_by_text_when_doc_ids_are_null_or_repeat(spark):
     r = random.Random(23)
     text = lambda: " ".join(f"w{r.randrange(5000)}" for _ in range(100))
