@@ -39,9 +39,9 @@ def field_health(records: DataFrame, fields: list[str], label: str | None = None
     keys = [label] if label else []
     long = records.select(*keys, F.explode(filled).alias("f")).select(*keys, "f.field", "f.on")
     out = long.groupBy(*keys, "field").agg(F.count("*").alias("attempts"), F.count_if("on").alias("filled"))
-    r = rate(F.col("filled"), F.col("attempts"))
-    status = F.when(F.col("attempts") < 5, "unknown").when(r <= 10, "broken").when(r < 50, "degraded").otherwise("ok")
-    return out.withColumn("fill_rate", r).withColumn("status", status).orderBy("fill_rate", "field")
+    exact = F.col("filled").cast("double") * 100 / F.nullif(F.col("attempts"), F.lit(0))  # the shown rate is rounded, the limits aren't
+    status = F.when(F.col("attempts") < 5, "unknown").when(exact <= 10, "broken").when(exact < 50, "degraded").otherwise("ok")
+    return out.withColumn("fill_rate", rate(F.col("filled"), F.col("attempts"))).withColumn("status", status).orderBy("fill_rate", "field")
 
 
 def failure_groups(log: DataFrame, reason: str, example: str, most: int = 3) -> DataFrame:
