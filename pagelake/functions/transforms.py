@@ -113,7 +113,20 @@ def squeeze(x):
 
 lower = transform("lower")(lambda x: F.lower(text(x)))
 upper = transform("upper")(lambda x: F.upper(text(x)))
-capitalize = transform("capitalize")(lambda x: F.concat(F.upper(F.substr(text(x), F.lit(1), F.lit(1))), F.substr(text(x), F.lit(2))))
+#: Letters whose capital form is several letters, and the capital that is a single one (themselves where there is none)
+_SEVERAL = [c for c in map(chr, [*range(0xDF, 0x590), *range(0x1E96, 0x2000), *range(0xFB00, 0xFB18)]) if len(c.upper()) > 1]
+_SINGLE = {c: c.title() if len(c.title()) == 1 else "ẞ" if c == "ß" else c for c in _SEVERAL}
+
+
+@transform("capitalize")
+def capitalize(x, single: bool = False):
+    """The first letter as a capital. ß and the like become several letters as in the reference (SS); one if `single` (ẞ)."""
+    head = F.substr(text(x), F.lit(1), F.lit(1))
+    up = F.upper(head)
+    if single:
+        up = F.when(F.length(up) > 1, F.translate(head, "".join(_SINGLE), "".join(_SINGLE.values()))).otherwise(up)
+    return F.concat(up, F.substr(text(x), F.lit(2)))
+
 
 
 @F.pandas_udf(StringType())

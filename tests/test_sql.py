@@ -5,6 +5,7 @@ from collections import Counter
 import duckdb
 
 from pagelake import queries as base
+from pagelake.functions import transforms as t
 
 
 def differ(spark, d, name, **tables):
@@ -29,3 +30,10 @@ def test_seed_list_keeps_pages_that_share_an_address(spark, tmp_path):
     rows = [(1, "https://a.test/x", "one"), (2, "https://a.test/x", "two"), (3, "https://a.test/x", "two"), (4, "https://a.test/x?utm_source=q", "three"), (5, None, "four"), (6, "https://a.test/y", None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert differ(spark, tmp_path, "seed_list", pages=pages) == ([], [])
+
+
+def test_capitalize_makes_one_letter_of_one(spark, tmp_path):
+    texts = ["ßheit und", "ﬁnd", "ŉ x", "ᾳ b", "éa", "abc", "Abc", "1a", "", None, "e\u0301a", "ǆ", "𐐨x", "ß"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert differ(spark, tmp_path, "tx_capitalize", documents=docs) == ([], [])
+    assert docs.select(t.capitalize("text")).head()[0] == "SSheit und"  # the transform of recipes is the reference's
