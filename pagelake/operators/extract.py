@@ -104,14 +104,14 @@ def read_source(s: dict, page, at) -> list[str] | None:
 
 
 def reader(spec: dict):
-    """The one UDF of a recipe."""
+    """The one UDF of a recipe. `references: closed` leaves character references without a semicolon as they are."""
     plan = [(name, strategies(f)) for name, f in spec.get("fields", {}).items()]
-    container = spec.get("container")
+    container, closed = spec.get("container"), spec.get("references") == "closed"
 
     def records(html, url):
         from pagelake.html.page import Page
 
-        page = Page(html, url)
+        page = Page(html, url, closed)
         out = []
         for at in page.select(container) if container else [page.doc]:
             raw, shown = [], []
@@ -236,13 +236,13 @@ READERS = {
 }
 
 
-def page_reader(kinds: tuple[str, ...]):
+def page_reader(kinds: tuple[str, ...], closed: bool = False):
     """A UDF over (html, url): the page is parsed once and read in every way asked for."""
 
     def one(h, u):
         from pagelake.html.page import Page
 
-        p, found = Page(h, u), []
+        p, found = Page(h, u, closed), []
         for kind in kinds:
             if kind in ("json_ld", "microdata"):
                 found.append([json.dumps(b, ensure_ascii=False) for b in getattr(p, kind)])
@@ -258,10 +258,10 @@ def page_reader(kinds: tuple[str, ...]):
     return read_page
 
 
-def read_pages(pages: DataFrame, *kinds: str, html: str = "html", url: str = "url") -> DataFrame:
-    """pages with a column per reader, all from one parse of each page."""
+def read_pages(pages: DataFrame, *kinds: str, html: str = "html", url: str = "url", closed: bool = False) -> DataFrame:
+    """pages with a column per reader, all from one parse of each page. closed: see parse_html."""
     ship(pages.sparkSession)
-    read = pages.withColumn("_read", page_reader(kinds)(F.col(html), F.col(url)))
+    read = pages.withColumn("_read", page_reader(kinds, closed)(F.col(html), F.col(url)))
     return read.withColumns({k: F.col("_read")[k] for k in kinds}).drop("_read")
 
 
