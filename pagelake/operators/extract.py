@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -103,6 +104,23 @@ def read_source(s: dict, page, at) -> list[str] | None:
     return found or None
 
 
+#: Characters of HTML that are read before their results are handed on, counting some for each page
+SLICE, PAGE = 1 << 20, 2000
+
+
+def sliced(batches: Iterator[tuple[pd.Series, pd.Series]], make: Callable) -> Iterator:
+    """make(html, url) of a few pages at a time. Spark bounds what a batch brings in, but not what is read from it."""
+    for html, url in batches:
+        start, size = 0, 0
+        for k, h in enumerate(html):
+            size += PAGE + len(h or "")
+            if size >= SLICE or k == len(html) - 1:
+                yield make(html.iloc[start : k + 1], url.iloc[start : k + 1])
+                start, size = k + 1, 0
+        if not len(html):
+            yield make(html, url)
+
+
 def reader(spec: dict):
     """The one UDF of a recipe. `references: closed` leaves character references without a semicolon as they are."""
     plan = [(name, strategies(f)) for name, f in spec.get("fields", {}).items()]
@@ -128,8 +146,8 @@ def reader(spec: dict):
         return out
 
     @F.pandas_udf(RAW)
-    def read_records(html: pd.Series, url: pd.Series) -> pd.Series:
-        return pd.Series([records(h, u) for h, u in zip(html, url)])
+    def read_records(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        return sliced(batches, lambda html, url: pd.Series([records(h, u) for h, u in zip(html, url)], dtype=object))
 
     return read_records
 
@@ -251,9 +269,12 @@ def page_reader(kinds: tuple[str, ...], closed: bool = False):
         return found
 
     @F.pandas_udf(", ".join(f"{k} {READERS[k]}" for k in kinds))
-    def read_page(html: pd.Series, url: pd.Series) -> pd.DataFrame:
-        rows = [one(h, u) for h, u in zip(html, url)]
-        return pd.DataFrame({k: pd.Series([r[i] for r in rows], dtype=object) for i, k in enumerate(kinds)})
+    def read_page(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        def make(html, url):
+            rows = [one(h, u) for h, u in zip(html, url)]
+            return pd.DataFrame({k: pd.Series([r[i] for r in rows], dtype=object) for i, k in enumerate(kinds)})
+
+        return sliced(batches, make)
 
     return read_page
 

@@ -8,6 +8,7 @@ and a run that was stopped goes on after its last whole round.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelake.functions import urls
+from pagelake.operators.extract import sliced
 from pagelake.operators.pagination import Counting
 from pagelake.session import exists, ship
 from pagelake.sources import robots as robots_txt
@@ -68,8 +70,8 @@ def _found(crawl: Crawl):
         return out
 
     @F.pandas_udf(FOUND)
-    def found(html: pd.Series, url: pd.Series) -> pd.Series:
-        return pd.Series([one(h, u) for h, u in zip(html, url)])
+    def found(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        return sliced(batches, lambda html, url: pd.Series([one(h, u) for h, u in zip(html, url)], dtype=object))
 
     return found
 

@@ -5,6 +5,7 @@ import tracemalloc
 
 import pandas as pd
 
+from pagelake.operators import extract
 from pagelake.streaming import streams
 
 
@@ -27,3 +28,16 @@ def test_replay_of_a_host_holds_a_slice_of_it():
     odd = pd.DataFrame({"at": [2.0, 1.0, 1.0], "event_id": [3.0, None, 2.0], "status": [200, None, 429]})
     assert [r[:2] for p in streams._in_order(iter([odd])) for r in p] == [(1.0, None), (1.0, 2), (2.0, 3)]
     assert list(streams._in_order(iter([]))) == []
+
+
+def test_pages_of_a_batch_are_read_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(extract, "SLICE", 1 << 17)
+    html, url = pd.Series(["<p>some words</p>" * 200] * 400 + [None]), pd.Series([f"https://a.test/{i}" for i in range(401)])
+    read, left, n = extract.reader({"container": "p", "fields": {"text": {"selector": "."}}}).func, 401, 0
+    tracemalloc.start()
+    for part in read(iter([(html, url)])):
+        n, left = n + sum(map(len, part)), left - len(part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (left, n) == (0, 80_000) and peak < 20e6, peak
+    assert [len(x) for x in read(iter([(html[:0], url[:0])]))] == [0]
