@@ -121,6 +121,12 @@ def sliced(batches: Iterator[tuple[pd.Series, pd.Series]], make: Callable) -> It
             yield make(html, url)
 
 
+def exploded(df: DataFrame, column: str, name: str, *keep: str) -> DataFrame:
+    """A row per element of a reader's column. From a plain explode, Spark infers a filter on the column's size and pushes
+    it below a repartition, so that every page is read there once more, by the few tasks of the scan; the outer one has none."""
+    return df.select(*keep, F.explode_outer(column).alias(name)).where(F.col(name).isNotNull())
+
+
 def reader(spec: dict):
     """The one UDF of a recipe. `references: closed` leaves character references without a semicolon as they are."""
     plan = [(name, strategies(f)) for name, f in spec.get("fields", {}).items()]

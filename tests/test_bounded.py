@@ -2,10 +2,14 @@
 
 import random
 import tracemalloc
+from html.parser import HTMLParser
 
 import pandas as pd
 
+from pagelake.html import tree
+from pagelake.html.tree import parse_html
 from pagelake.operators import extract
+from pagelake.plans import web
 from pagelake.streaming import streams
 
 
@@ -41,3 +45,21 @@ def test_pages_of_a_batch_are_read_a_few_at_a_time(spark, monkeypatch):
     tracemalloc.stop()
     assert (left, n) == (0, 80_000) and peak < 20e6, peak
     assert [len(x) for x in read(iter([(html[:0], url[:0])]))] == [0]
+
+
+def test_exploded_readers_parse_a_page_once(spark, tmp_path):
+    part = spark.createDataFrame([(1, "n", "b", "t", 3, 2.5)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, "https://a.test/", "<a href='/x'>x</a>"), (2, "https://a.test/", "no link")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    for query, want in ((web.html_tables, [(1, "b", "3")]), (web.page_links, [(1, "https://a.test/x")])):
+        df = query(spark, str(tmp_path))
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+        assert [tuple(r) for r in df.collect()] == want
+
+
+def test_plain_tags_are_read_as_by_the_tokenizer(monkeypatch):
+    texts = ["<A HREF='/x' Data-k=v b>y</A >", "<a b = 'c'>d</a>", "<a b=''>e", '<a b="x>y">f</a>', "<title>a<b>c</title>d", "<script>a<p></b></script >q", "<a\x0bb=1>k", "<a b\xa0=1>", "<p a=1 a=2/>t", "<a b='1'c>", "<a b=c&amp;d e='&lt;'>g", "<p a='", "</ p></p x>", "<br><hr/><x:y z:w=1>"]
+    fast = [parse_html(x).html() for x in texts]
+    monkeypatch.setattr(tree._Builder, "parse_starttag", HTMLParser.parse_starttag)
+    monkeypatch.setattr(tree._Builder, "parse_endtag", HTMLParser.parse_endtag)
+    assert fast == [parse_html(x).html() for x in texts]
